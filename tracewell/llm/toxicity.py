@@ -22,6 +22,7 @@ from tracewell.llm._shared import unit_hash
 WINDOW, STRIDE = 32, 26
 HIDDEN, WIDTH = 8, 8  # units a direction; dimensions of a word's vector and of its n-grams' vector
 BUCKETS = 1 << 16
+LEAST_STEPS = 200  # of training, however few texts there are
 _WORD = re.compile(r"\w+")
 _POWERS = np.array([pow(0x100000001B3, k + 1, 1 << 64) for k in range(64)], np.uint64)
 
@@ -212,6 +213,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, seed: int = 1)
 
     odds = net.p["words"][whole, 0]
     odds = np.r_[0, odds]
+    epochs = max(epochs, -(-LEAST_STEPS * 128 // max(1, 2 * len(fit))))
     for epoch in range(epochs):
         logits = scores(fit) if epoch else [odds[wins[k]].max(1) + 0.1 * odds[wins[k]].mean(1) for k in fit]
         chosen, target = [], []
