@@ -40,7 +40,7 @@ def _found(rule: Rule) -> Column:
     return found & ~is_comment(F.col("line"), F.col("language")) if rule.skip_comments else found
 
 
-def tracked_lines(lines: Column, line_number: Column, variable: Column, before: int) -> Column:
+def tracked_lines(lines: Column, line_number: Column, variable: Column, before: Column) -> Column:
     """Lines above the window that define the sink's variable, or what its definitions use, in file order.
 
     A fold over the lines above the sink, nearest first: where a followed variable is assigned, the names on the right are
@@ -67,12 +67,21 @@ def tracked_lines(lines: Column, line_number: Column, variable: Column, before:
     return F.when(variable == "", F.array().cast("array<string>")).otherwise(F.aggregate(above, start, step, lambda acc: acc["found"]))
 
 
-def _window(rule: Rule) -> Column:
-    w = context_window(F.col("lines"), F.col("line_number"), rule.before, rule.after)
-    if rule.backtrack is None:
+def _window(rules: list[Rule]) -> Column:
+    """The site's window by its own bounds, below the tracked lines where the rule follows variables."""
+    w = context_window(F.col("lines"), F.col("line_number"), F.col("before"), F.col("after"))
+    following = [r for r in rules if r.backtrack is not None]
+    if not following:
         return w
-    variable = F.regexp_extract("line", rule.backtrack, 1)
-    return F.array_join(F.concat(tracked_lines(F.col("lines"), F.col("line_number"), variable, rule.before), F.array(w)), "\n")
+    variable = F.lit("")
+    for r in following:
+        variable = F.when(F.col("rule_id") == r.rule_id, F.regexp_extract("line", r.backtrack, 1)).otherwise(variable)
+    return F.array_join(F.concat(tracked_lines(F.col("lines"), F.col("line_number"), variable, F.col("before")), F.array(w)), "\n")
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column as the only element of an exploded array: the optimizer doesn't copy its expression to where it is used."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def evidence(rule: Rule) -> Column:
@@ -133,9 +142,9 @@ def _choose(rules: list[Rule], of) -> Column:
 def sink_sites(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """One row per line and rule whose sink pattern it matches: file_path, language, lines, line_number, line, rule_id, sink."""
     lines = files.select("file_path", "language", "lines", F.posexplode("lines").alias("pos", "line"))
-    hits = [F.when(_applies(r) & _found(r), F.struct(F.lit(r.rule_id).alias("rule_id"), _matched(r).alias("sink"))) for r in rules]
+    hits = [F.when(_applies(r) & _found(r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.before).alias("before"), F.lit(r.after).alias("after"), _matched(r).alias("sink"))) for r in rules]
     sites = lines.withColumn("hit", F.explode(F.array_compact(F.array(*hits))))
-    return sites.select("file_path", "language", "lines", (F.col("pos") + 1).alias("line_number"), "line", "hit.rule_id", "hit.sink")
+    return sites.select("file_path", "language", "lines", (F.col("pos") + 1).alias("line_number"), "line", "hit.rule_id", "hit.sink", "hit.before", "hit.after")
 
 
 FINDING = ["file_path", "line_number", "rule_id", "vulnerability_type", "severity", "severity_value", "confidence_score", "cwe_id", "source", "sink", "code_snippet"]
@@ -166,8 +175,8 @@ def scan(files: DataFrame, rule_ids: Iterable[str] | None = None, first_hit: boo
     rules = [r for r in RULES if r.rule_id in wanted]
     out = None
     if rules:
-        sites = sink_sites(files, rules).withColumn("w", _choose(rules, _window))
-        scored = sites.withColumn("confidence_score", _choose(rules, evidence)).where(F.col("confidence_score") >= 0.5)  # every rule's threshold
+        sites = _once(sink_sites(files, rules), "w", _window(rules))
+        scored = _once(sites, "confidence_score", _choose(rules, evidence)).where(F.col("confidence_score") >= 0.5)  # every rule's threshold
         cwe = lambda r: F.lit(r.cwe) if r.cwe_when is None else F.when(r.cwe_when[0].column(), r.cwe_when[1]).otherwise(r.cwe)
         snippet = lambda r: strip(F.col("line")) if r.sink_text != "match" else F.lit(None).cast("string")
         out = scored.select(
