@@ -29,10 +29,17 @@ _POWERS = np.array([pow(0x100000001B3, k + 1, 1 << 64) for k in range(64)], np.u
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_features(words: list[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_features``, block after block, to hold few intermediate values at a time."""
+    parts = [_features(words[a : a + block]) for a in range(0, len(words), block)]
+    own = [p[2] + np.int32(a) for p, a in zip(parts, range(0, len(words), block), strict=True)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(own)
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word; buckets of all its character 3- and 4-grams, with word ends, and the word that each belongs to."""
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     size = np.array([len(w) + 2 for w in words])
@@ -52,7 +59,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         owners.append(owner[at])
     gram, own = np.concatenate(grams), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
-    return whole, gram[order], own[order]
+    return whole, gram[order], own[order].astype(np.int32)
 
 
 def window_starts(n: int) -> list[int]:
@@ -89,10 +96,13 @@ class GatedNetwork:
 
     def vectors(self, feats: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
         whole, gram, own = feats
-        first = np.searchsorted(own, np.arange(n))
-        count = np.diff(np.r_[first, len(own)])
-        means = np.add.reduceat(self.p["grams"][gram], first, axis=0) / count[:, None]
-        return np.concatenate([self.p["words"][whole], means], axis=1).astype(np.float32)
+        first = np.r_[np.searchsorted(own, np.arange(n)), len(own)]
+        out = np.empty((n, 2 * WIDTH), np.float32)
+        out[:, :WIDTH] = self.p["words"][whole]
+        for a in range(0, n, 20_000):
+            at = first[a : a + 20_001]
+            out[a : a + 20_000, WIDTH:] = np.add.reduceat(self.p["grams"][gram[at[0] : at[-1]]], at[:-1] - at[0], axis=0) / np.diff(at)[:, None]
+        return out
 
     def inputs(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """Gate inputs of each word vector, for both directions."""
@@ -167,14 +177,14 @@ class WordTable:
         for w in dict.fromkeys(words):
             if w not in number:
                 number[w] = len(number) + 1
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
 
     def features(self, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         new = list(self.number)[first:]
         return word_features(new) if new else None
 
 
-def _log_odds(buckets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def _log_odds(buckets: Iterator[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """For each bucket, how much more often texts that are toxic hold it; shrunk towards 0 where it is rare."""
     yes, no = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, y in zip(buckets, labels, strict=True):
@@ -197,18 +207,18 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, seed: int = 1)
     first = np.searchsorted(own, np.arange(n + 1))
     test = np.arange(len(y)) % 5 == 4
     fit = np.flatnonzero(~test) if len(set(y[~test].tolist())) == 2 else np.arange(len(y))
-    distinct = [np.unique(x) - 1 for x in ids]
-    net.p["words"][:, 0] = _log_odds([np.unique(whole[d]) for d in (distinct[k] for k in fit)], y[fit])
-    spans = [np.unique(np.concatenate([gram[first[w] : first[w + 1]] for w in d])) if len(d) else np.empty(0, np.int64) for d in (distinct[k] for k in fit)]
-    net.p["grams"][:, 0] = _log_odds(spans, y[fit])
+    grams_of = lambda words: np.concatenate([gram[first[w] : first[w + 1]] for w in words]) if len(words) else np.empty(0, np.int32)
+    net.p["words"][:, 0] = _log_odds((np.unique(whole[np.unique(ids[k]) - 1]) for k in fit), y[fit])
+    net.p["grams"][:, 0] = _log_odds((np.unique(grams_of(np.unique(ids[k]) - 1)) for k in fit), y[fit])
     wins = [windows_of(x) for x in ids]
+    del ids
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, feats = 0, (whole, gram, own)
 
     def scores(which: np.ndarray) -> list[np.ndarray]:
         gates = net.inputs(np.vstack([np.zeros((1, 2 * WIDTH), np.float32), net.vectors(feats, n)]))
         flat = np.concatenate([wins[k] for k in which])
-        out = np.concatenate([net.forward(gates, flat[a : a + 4096])[0] for a in range(0, len(flat), 4096)])
+        out = np.concatenate([net.forward(gates, flat[a : a + 1024])[0] for a in range(0, len(flat), 1024)])
         return np.split(out, np.cumsum([len(wins[k]) for k in which])[:-1])
 
     odds = net.p["words"][whole, 0]
@@ -300,7 +310,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_of_each: int) -> li
     return texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text", "toxic").collect()  # bounded by most_of_each
 
 
-def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, sample_of_each: int = 2500, epochs: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, sample_of_each: int = 2000, epochs: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score and the columns ``carry`` for every whole text of ``docs``, by a network trained on labelled texts of ``training``.
 
     About ``sample_of_each`` texts of each label are used and must fit the driver. Null and empty texts, and texts without
