@@ -137,8 +137,11 @@ class Forest:
         return node, self.root[node]
 
 
-def link_leaves(forest: Forest, wide: np.ndarray, x: np.ndarray, y: np.ndarray, most_bits: int) -> None:
-    """Add the links between two large leaves; members that reach all of the other leaf already are not compared again."""
+def link_leaves(forest: Forest, wide: np.ndarray, x: np.ndarray, y: np.ndarray, sure_bits: int, most_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Add the sure links between two large leaves and give the doubtful pairs that they don't connect.
+
+    Members that reach all of the other leaf already are not compared again.
+    """
     while len(x):
         roots = np.unique(forest.root[y])
         if len(roots) == 1:
@@ -146,17 +149,21 @@ def link_leaves(forest: Forest, wide: np.ndarray, x: np.ndarray, y: np.ndarray,
         step, x = x[:64], x[64:]
         for k in range(0, len(y) if len(step) else 0, 1 << 13):
             some = y[k : k + (1 << 13)]
-            near = np.bitwise_count(wide[step][:, None, :] ^ wide[some][None, :, :]).sum(2) <= most_bits
-            i, j = np.nonzero(near)
+            apart = np.bitwise_count(wide[step][:, None, :] ^ wide[some][None, :, :]).sum(2)
+            i, j = np.nonzero(apart <= sure_bits)
             forest.add(step[i], some[j])
+            i, j = np.nonzero((apart > sure_bits) & (apart <= most_bits) & (forest.root[step][:, None] != forest.root[some][None, :]))
+            if len(i):
+                yield step[i], some[j]
 
 
-def hamming_edges(fps: DataFrame, budget: int, tables: int = 1, key_bits: int = 64, most_bits: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect what is within the budget; fps: id (long), fp (binary).
+def hamming_edges(fps: DataFrame, budget: int, tables: int = 1, key_bits: int = 64, sure_bits: int | None = None, most_bits: int | None = None) -> DataFrame:
+    """Edges (a, b, sure) that connect what is within the budget; fps: id (long), fp (binary).
 
     A trie's keys are ``key_bits`` bits of the fingerprint, from bit ``table * key_bits``, for each of ``tables``. Links are keys
-    that differ in ``budget`` bits at most and, with ``most_bits``, whole fingerprints that differ in so many at most. A task
-    returns, for each trie it walks, a spanning forest of its links, which connects just what the links connect.
+    that differ in ``budget`` bits at most; with ``sure_bits`` and ``most_bits``, whole fingerprints that differ in so many bits
+    at most are sure links, and doubtful ones. A task returns, for each trie it walks, a spanning forest of its sure links,
+    which connects just what they connect, and all doubtful pairs that are not connected by them.
     """
     n = fps.count()
     window = max(1, min(key_bits // (budget + 1), round(math.log2(max(2, n / SUBTREE)))))
@@ -208,18 +215,26 @@ def hamming_edges(fps: DataFrame, budget: int, tables: int = 1, key_bits: int =
             order = np.lexsort((keys, tree))
             forest = Forest(end)
             wide = np.ascontiguousarray(fp).view("<u8").reshape(end, -1)
-            most = budget if most_bits is None else most_bits
+            doubtful: list[tuple[np.ndarray, np.ndarray]] = []
+            sure, most = (budget, budget) if sure_bits is None else (sure_bits, most_bits)
             for i, j, leaves in trie_self_join(tree[order], keys[order], key_bits, budget):
                 i, j = order[i], order[j]
                 if leaves:
-                    link_leaves(forest, wide, i, j, most)
-                    continue
-                if most_bits is not None:
-                    near = np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= most
-                    i, j = i[near], j[near]
-                forest.add(i, j)
+                    doubtful += link_leaves(forest, wide, i, j, sure, most)
+                elif sure_bits is None:
+                    forest.add(i, j)
+                else:
+                    apart = np.bitwise_count(wide[i] ^ wide[j]).sum(1)
+                    forest.add(i[apart <= sure], j[apart <= sure])
+                    maybe = (apart > sure) & (apart <= most)
+                    doubtful.append((i[maybe], j[maybe]))
             node, root = forest.edges()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[node]), pa.array(ids[root])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[node]), pa.array(ids[root]), pa.array(np.ones(len(node), bool))], names=["a", "b", "sure"])
+            for i, j in doubtful:
+                apart = forest.root[i] != forest.root[j]
+                i, j = i[apart], j[apart]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(np.zeros(len(i), bool))], names=["a", "b", "sure"])
 
         rows = 0
         for batch in batches:
@@ -234,17 +249,35 @@ def hamming_edges(fps: DataFrame, budget: int, tables: int = 1, key_bits: int =
 
     dealt = fps.select("id", "fp").mapInArrow(deal, "tree long, id long, fp binary")
     parts_n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts_n, "tree").sortWithinPartitions("tree").mapInArrow(join, "a long, b long")
+    return dealt.repartition(parts_n, "tree").sortWithinPartitions("tree").mapInArrow(join, "a long, b long, sure boolean")
 
 
-def _classes(prints: DataFrame, budget: int, **how) -> DataFrame:
-    """fp to component: documents of one fingerprint are represented by the least id among them."""
-    groups = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprints")
-    edges = hamming_edges(groups.where("id is not null"), budget, **how)
-    found = connected_components(edges)
+def _classes(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp to component, for ``groups`` (fp, id) and the links between their ids."""
+    found = connected_components(edges.select("a", "b"))
     return groups.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
 
 
+def _groups(prints: DataFrame) -> DataFrame:
+    """fp, id: documents of one fingerprint are represented by the least id among them."""
+    return materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprints")
+
+
+def verified(pairs: DataFrame, groups: DataFrame, most_bits: int) -> DataFrame:
+    """The pairs (a, b) whose whole fingerprints differ in ``most_bits`` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, -1) for k in (2, 3))
+            near = pa.array(np.bitwise_count(x ^ y).sum(1) <= most_bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
+    x, y = (groups.select(F.col("id").alias(k), F.col("fp").alias(f"fp_{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long")
+
+
 def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least id that links of ``budget`` bits or fewer reach).
 
@@ -253,7 +286,8 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col:
     An empty table gives no rows; extra columns are ignored.
     """
     prints = materialise(simhash_fingerprints(docs, width, 1, id_col, text_col), "simhash")
-    classes = _classes(prints, budget)
+    groups = _groups(prints)
+    classes = _classes(groups, hamming_edges(groups.where("id is not null"), budget))
     digits = F.lower(F.concat(*[F.substring(F.hex("fp"), k, 2) for k in range(15, 0, -2)]))  # the highest byte first
     return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
@@ -264,15 +298,28 @@ def similarity_bits(similarity: float, bits: int) -> int:
     return round(math.acos(cosine) / math.pi * bits)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 4, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Fingerprint words that the tries use; links sure by them are as alike as SURE on average, doubtful ones as LEAST or more.
+TRIE_WORDS, SURE, LEAST = 4, 0.89, 0.68
+#: What an estimate from the whole fingerprint strays by, on average; doubtful links may fall short by that.
+SLACK = 0.015
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 16, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of documents whose word shingles are ``similarity`` alike or more, by wide fingerprints.
 
-    A fingerprint has ``64 * words`` bits, and each 32 of them are the keys of a trie that is joined with itself within
-    ``budget`` bits; what any of the joins finds is linked if the whole fingerprints differ in no more bits than sets of that
-    similarity do on average. Equal fingerprints are one class from the start. Nulls, repeats and empty tables: as in
-    ``simhash_components``, but a text without words is like no other and stands alone.
+    A fingerprint has ``64 * words`` bits. Each 32 of its first 256 are the keys of a trie that is joined with itself within
+    ``budget`` bits. What any of the joins finds is linked if the first 256 bits tell that it is alike well beyond
+    ``similarity``; in doubt, if the whole fingerprints differ in no more bits than sets of that similarity, less ``SLACK``, do
+    on average.
+    Equal fingerprints are one class from the start. Nulls, repeats and empty tables: as in ``simhash_components``, but a text
+    without words is like no other and stands alone.
     """
     prints = materialise(simhash_fingerprints(docs, width, words, id_col, text_col), "simhash")
-    worded = prints.where(F.col("fp") != F.lit(bytes(8 * words)))
-    classes = _classes(worded, budget, tables=2 * words, key_bits=32, most_bits=similarity_bits(similarity, 64 * words))
+    groups = _groups(prints.where(F.col("fp") != F.lit(bytes(8 * words))))
+    bits = 64 * TRIE_WORDS
+    sure, most = (similarity_bits(1 - (1 - similarity) * (1 - v) / 0.2, bits) for v in (SURE, LEAST))
+    keys = groups.where("id is not null").select("id", F.substring("fp", 1, 8 * TRIE_WORDS).alias("fp"))
+    edges = materialise(hamming_edges(keys, budget, 2 * TRIE_WORDS, 32, sure, most).distinct(), "links")
+    doubtful = verified(edges.where("not sure").select("a", "b"), groups, similarity_bits(similarity - SLACK, 64 * words))
+    classes = _classes(groups, edges.where("sure").select("a", "b").unionByName(doubtful))
     return prints.join(classes, "fp", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
