@@ -39,7 +39,8 @@ def decoded(content: Column) -> Column:
 def read_files(spark: SparkSession, root: str, recursive: bool = True, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """file_path (relative), language, size_bytes, last_modified, code, line_count, is_empty, lines of all supported files below.
 
-    Files over 10 MB are left out before they are read, as are excluded folders and unknown extensions.
+    Files over 10 MB are left out before they are read, as are excluded folders and unknown extensions. Spark's reader passes
+    over files of no bytes, which hold no findings.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     base = root.rstrip("/").split("://")[-1].split(":")[-1]
