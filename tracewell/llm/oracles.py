@@ -1,17 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
 ORACLES: dict[str, str] = {
-    "op2_neighbours": """
-WITH clean AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
-  FROM clean q JOIN clean c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM scored QUALIFY rank <= 5
-""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p),
@@ -20,5 +9,19 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
 FROM m
+""",
+    "op4_tool_calls": """
+WITH u AS (SELECT conv_id, turn, text, length(text) > 200 AS long FROM conversations WHERE role = 'user'),
+i AS (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM u),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level FROM i),
+c AS (SELECT l.conv_id, l.turn, 'call-' || l.conv_id || '-' || l.turn AS call_id, CASE WHEN long THEN 'summarise' ELSE 'lookup' END AS name, level,
+    CASE WHEN long AND l.turn > 5 THEN ['$.turn: above 5'] WHEN NOT long AND l.text = '' THEN ['$.query: shorter than 1'] ELSE CAST([] AS VARCHAR[]) END AS errors,
+    r.turn AS result_turn, l.text, long, r.text AS result
+  FROM l LEFT JOIN conversations r ON r.role = 'assistant' AND r.conv_id = l.conv_id AND r.turn = l.turn + 1)
+SELECT conv_id, turn, call_id, name, CAST(level AS INTEGER) AS level,
+  CASE WHEN result_turn IS NULL THEN 'unlinked' WHEN len(errors) > 0 THEN 'invalid' ELSE 'ok' END AS status, errors, result_turn,
+  '{"arguments":{' || CASE WHEN long THEN '"text":' ELSE '"query":' END || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"id":"' || call_id
+    || '","name":"' || name || '","result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' AS canonical
+FROM c
 """,
 }
