@@ -379,3 +379,12 @@ def test_shingles_of_short_and_odd_texts():
     assert len(shingle_hashes(None, 3)) == len(shingle_hashes(" \t\n", 3)) == 0
     assert shingle_hashes("A b", 3).tolist() == [xxhash.xxh64_intdigest("a b", seed=42)]
     assert shingle_hashes("a b c d", 3).tolist() == [xxhash.xxh64_intdigest("a b c d", seed=42)]
+
+
+def test_article_inside_odd_wrappers(sf_dir):
+    import pyarrow.parquet as pq
+
+    weights = fit_weights(pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist())
+    page = """<body><div class="header">Site name</div><div class="wrap has-sidebar"><article class="post"><h2>A title</h2><p>Some words of it.</p></article>
+    <div class="sidebar"><p>More of this site</p></div><section class="comments"><article class="comment"><p>Nice one, thanks!</p></article></section></div></body>"""
+    assert main_text(page, weights) == "A title\nSome words of it."

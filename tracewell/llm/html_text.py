@@ -27,9 +27,11 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _DROP = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "head", "object", "audio", "video", "canvas", "map", "datalist"}
 _DROP_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|promo\w*|sponsor\w*|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|skip-link)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|promo\w*|sponsor\w*|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|topbar|announcement|disclaimer|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|skip-link)(?=$|[\s_-])",
     re.I,
 )
+_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?=$|[\s_-])", re.I)
+_PAGE_HEADER = re.compile(r"(?:^|\s)(?:global-|main-|top-)?header(?=$|\s)", re.I)
 _DROP_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 #: Elements whose start closes an open p.
 _ENDS_P = _BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary"}
@@ -61,11 +63,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def _boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     if name in _DROP or name == "header" and not in_article:
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "main"):
         return False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and _DROP_NAME.search(value) or key == "role" and value.lower() in _DROP_ROLE or key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true":
+        if key in ("class", "id") and name == "article" and _COMMENT.search(value):
+            return True
+        if name == "article":
+            continue
+        if key in ("class", "id") and (_DROP_NAME.search(value) or not in_article and _PAGE_HEADER.search(value)) or key == "role" and value.lower() in _DROP_ROLE or key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
@@ -75,15 +81,22 @@ def _marked(name: str, attrs: str) -> bool:
 
 
 def walk(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """Tokens with whether they stand in a marked article, and whether in boilerplate."""
+    """Tokens with whether they stand in a marked article, and whether in boilerplate.
+
+    The first article of a page counts even inside an element whose name looks like boilerplate (``with-sidebar``).
+    """
     stack: list[tuple[str, bool, bool]] = []
+    met = False
     for kind, name, value in tokens(page):
         top = stack[-1] if stack else ("", False, False)
         if kind == "open":
             if name in _ENDS_P and top[0] == "p" or name == top[0] and name in ("li", "option", "dt", "dd", "td", "th", "tr"):
                 stack.pop()
                 top = stack[-1] if stack else ("", False, False)
-            inside, bad = top[1] or _marked(name, value), top[2] or _boilerplate(name, value, top[1])
+            own = _boilerplate(name, value, top[1])
+            first = not own and not met and name in ("article", "main") and not any(s[0] in _DROP for s in stack)
+            met = met or first
+            inside, bad = top[1] or _marked(name, value), own or top[2] and not first
             yield kind, name, value, inside, bad
             if name not in _VOID and not value.rstrip().endswith("/"):
                 stack.append((name, inside, bad))
