@@ -197,3 +197,20 @@ def test_streams(spark, tmp_path):
     assert [r.v for r in rows.select(signature_valid(b"k")(F.col("b"), F.col("h")).alias("v")).collect()] == [True, False, False]
     trend = finding_trend(spark.createDataFrame([("2024-01-01 00:10:00", "HIGH"), ("2024-01-01 00:20:00", "HIGH")], "t string, severity string").select(F.to_timestamp("t").alias("detected_at"), "severity"))
     assert trend.first().n == 2
+
+
+def test_manifests(spark):
+    from tracewell.sources.manifests import python_requirements
+
+    toml = '[project]\ndependencies = ["a>=1"]\n[project.optional-dependencies]\nx = ["b"]\n[tool.poetry.dependencies]\npython = "^3"\nc = "^2"\nd = {version = "1.0"}\ne = "*"'
+    rows = [("p/requirements.txt", "q==1  # note\n\n-r other\n"), ("p/pyproject.toml", toml), ("z/pyproject.toml", toml), ("bad/pyproject.toml", "["), ("x.py", "")]
+    got = {(r.file_path, r.requirement) for r in python_requirements(spark.createDataFrame(rows, "file_path string, code string")).collect()}
+    assert got == {("p/requirements.txt", "q==1"), *(("z/pyproject.toml", x) for x in ("a>=1", "b", "c>=2", "d==1.0", "e"))}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tracewell.__main__ import main
+
+    (tmp_path / "a.py").write_text("os.system('x' + y)\n")
+    assert main(["scan", str(tmp_path)]) == 1 and "PY-CMD-001" in capsys.readouterr().out
+    assert main(["scan", str(tmp_path), "--override", "PY-CMD-001=low", "--fail-on", "high"]) == 0
