@@ -388,3 +388,19 @@ def test_article_inside_odd_wrappers(sf_dir):
     page = """<body><div class="header">Site name</div><div class="wrap has-sidebar"><article class="post"><h2>A title</h2><p>Some words of it.</p></article>
     <div class="sidebar"><p>More of this site</p></div><section class="comments"><article class="comment"><p>Nice one, thanks!</p></article></section></div></body>"""
     assert main_text(page, weights) == "A title\nSome words of it."
+
+
+def test_levels_match_brute_force(spark):
+    from tracewell.llm.tool_calls import topological_levels
+
+    r = np.random.default_rng(5)
+    edges = [(f"c{k}", f"c{k - 1}") for k in range(1, 150)]
+    edges += [(f"d{k}", f"{'cd'[int(r.integers(0, 2))]}{int(r.integers(0, k + 1))}") for k in range(60) for _ in range(int(r.integers(0, 3)))]
+    edges = [(a, b) for a, b in edges if a != b] + [("x", "y"), ("y", "x"), ("z", "x"), ("z", "c1"), ("w", "z"), ("v", "gone"), ("s", "s")]
+    names = sorted({a for a, _ in edges} | {b for _, b in edges if b != "gone"})
+    needs = {n: {b for a, b in edges if a == n and b in names} for n in names}
+    want: dict = {}
+    while new := {n: 1 + max((want[b] for b in needs[n]), default=-1) for n in names if n not in want and needs[n] <= set(want)}:
+        want |= new
+    got = topological_levels(spark.createDataFrame([(n,) for n in names], "call_id string"), spark.createDataFrame(edges, "call_id string, needed string")).collect()
+    assert len(got) == len(want) and {x.call_id: x.level for x in got} == want

@@ -45,30 +45,55 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _chains(calls: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(call_id, up, dist, ended) of calls with one need, and the other calls (call_id, several).
+
+    ``up`` is the first call up the chain that hasn't just one need, ``dist`` steps away. Pointers are doubled in each round, so
+    there are as many rounds as the longest chain has binary digits; chains that end in a cycle are not ``ended``.
+    """
+    counts = needs.groupBy("call_id").count()
+    tops = materialise(calls.join(counts, "call_id", "left").where("count is null or count > 1").select("call_id", F.col("count").isNotNull().alias("several")), "tops")
+    one = needs.join(counts.where("count = 1").select("call_id"), "call_id").withColumnRenamed("needed", "up")
+    ends = tops.select(F.col("call_id").alias("up"), F.lit(True).alias("end"))
+    steps = materialise(one.join(ends, "up", "left").select("call_id", "up", F.lit(1).alias("dist"), F.coalesce("end", F.lit(False)).alias("ended")), "steps")
+    for _ in range(steps.count().bit_length() + 1):
+        if not steps.where("not ended").take(1):
+            break
+        next_up = steps.select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("ended").alias("ended2"))
+        moved = steps.where("not ended").join(next_up, "up").select("call_id", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("ended2").alias("ended"))
+        steps = materialise(steps.where("ended").unionByName(moved), "steps")
+    return steps, tops
+
+
 def topological_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """call_id, level for ``calls`` (call_id) under ``needs`` (call_id, needed): 0 without needs, else one above the highest need.
 
-    Calls on a cycle, or that need one, get no row. Needs of unknown calls are ignored. Each round settles one level for all
-    conversations at once, by joins on identifiers, and ends in a table in the shared folder; there are as many rounds as
-    levels.
+    Calls on a cycle, or that need one, get no row. Needs of unknown calls are ignored. Chains of calls with one need are
+    shortened by pointer doubling; calls with several needs are settled by rounds of joins over what is left, one for each of
+    them on the longest path. Every round ends in a table in the shared folder.
     """
-    spark = calls.sparkSession
-    needs = materialise(needs.join(calls.withColumnRenamed("call_id", "needed"), "needed", "left_semi").join(calls, "call_id", "left_semi").where("call_id is not null").distinct(), "needs")
-    done = calls.join(needs.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).alias("level"))
-    levels, waiting, level = [materialise(done, "level")], needs, 0
-    while waiting.take(1):
-        # A call is ready when all that it needs has been settled.
-        left = materialise(waiting.join(levels[-1].select(F.col("call_id").alias("needed")), "needed", "left_anti").select("call_id", "needed"), "needs")
-        ready = waiting.select("call_id").distinct().join(left.select("call_id"), "call_id", "left_anti")
-        level += 1
-        levels.append(materialise(ready.select("call_id", F.lit(level).alias("level")), "level"))
-        waiting = left
-        if not levels[-1].take(1):
-            break
-    out = spark.createDataFrame([], levels[0].schema)
-    for part in levels:
-        out = out.unionByName(part)
-    return out
+    needs = materialise(needs.join(calls.withColumnRenamed("call_id", "needed"), "needed", "left_semi").join(calls, "call_id", "left_semi").distinct(), "needs")
+    steps, tops = _chains(calls, needs)
+    new = tops.where("not several").select(F.col("call_id").alias("up"), F.lit(0).alias("level"))
+    settled = [new]
+    open_ = tops.where("several").select("call_id")
+    if open_.take(1):
+        above = steps.select(F.col("call_id").alias("needed"), "up", "dist")
+        left = needs.join(open_, "call_id").join(above, "needed", "left").select("call_id", F.coalesce("up", "needed").alias("up"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist"))
+        left, reached = materialise(left, "left"), None
+        while new.take(1) and left.take(1):
+            found = left.join(new, "up").groupBy("call_id").agg(F.max(F.col("level") + F.col("dist")).alias("level"))
+            reached = materialise(found if reached is None else reached.unionByName(found).groupBy("call_id").agg(F.max("level").alias("level")), "reached")
+            left = materialise(left.join(new, "up", "left_anti").select("call_id", "up", "dist"), "left")
+            ready = reached.join(left.select("call_id"), "call_id", "left_anti")
+            new = materialise(ready.select(F.col("call_id").alias("up"), "level"), "level")
+            settled.append(new)
+            reached = reached.join(new.select(F.col("up").alias("call_id")), "call_id", "left_anti")
+    levels = settled[0]
+    for part in settled[1:]:
+        levels = levels.unionByName(part)
+    below = steps.where("ended").join(levels, "up").select("call_id", (F.col("level") + F.col("dist")).cast("int").alias("level"))
+    return levels.select(F.col("up").alias("call_id"), F.col("level").cast("int").alias("level")).unionByName(below)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
