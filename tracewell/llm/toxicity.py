@@ -22,6 +22,7 @@ from tracewell.llm._shared import unit_hash
 WINDOW, STRIDE = 32, 26
 HIDDEN, WIDTH = 8, 8  # units a direction; dimensions of a word's vector and of its n-grams' vector
 BUCKETS = 1 << 16
+MOST_FALSE = 0.02  # of the clean texts kept from training, the share that may score 0.5 or more
 LEAST_STEPS = 200  # of training, however few texts there are
 _WORD = re.compile(r"\w+")
 _POWERS = np.array([pow(0x100000001B3, k + 1, 1 << 64) for k in range(64)], np.uint64)
@@ -263,7 +264,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 10, seed: int = 1)
                 net.p[key][rows_] -= 0.02 * summed / (np.sqrt(v[rows_]) + 1e-6)
     held = np.flatnonzero(test) if test.any() and len(set(y[test].tolist())) == 2 else fit
     top = np.array([s.max() for s in scores(held)])
-    net.shift = -best_threshold(top, y[held])
+    clean = np.sort(top[y[held] == 0])
+    net.shift = -max(best_threshold(top, y[held]), float(clean[int((1 - MOST_FALSE) * (len(clean) - 1))]) + 0.01)
     return net
 
 
@@ -298,7 +300,8 @@ class Scorer:
         flat = np.concatenate(wins)
         logit = np.concatenate([self.net.forward(self.gates, flat[a : a + 1024])[0] for a in range(0, len(flat), 1024)])
         first = np.cumsum([0, *(len(w) for w in wins[:-1])])
-        return _sigmoid(np.maximum.reduceat(logit, first).astype(np.float64) + self.net.shift)
+        worded = np.array([w[0, 0] > 0 for w in wins])  # a window of padding alone has no words
+        return np.where(worded, _sigmoid(np.maximum.reduceat(logit, first).astype(np.float64) + self.net.shift), 0.0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_of_each: int) -> list:
@@ -314,7 +317,7 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, samp
     """doc_id, score and the columns ``carry`` for every whole text of ``docs``, by a network trained on labelled texts of ``training``.
 
     About ``sample_of_each`` texts of each label are used and must fit the driver. Null and empty texts, and texts without
-    words, are scored as a window of padding alone. Repeated rows and null ids are kept; an empty table gives no rows; with
+    words, score 0. Repeated rows and null ids are kept; an empty table gives no rows; with
     labels of one kind or none every score is near 0. Extra columns are ignored.
     """
     rows = labelled_sample(training, labels, sample_of_each)
