@@ -208,9 +208,9 @@ def by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.by_severity(derived_findings(spark, sf_dir).where("engine = 'external' and severity <> 'LOW'"))
 
 
-@query(f"WITH {FINDINGS_SQL} SELECT vulnerability_type, count(*) AS n, count(DISTINCT file_path) AS files, avg(confidence_score) AS mean_confidence FROM findings GROUP BY 1")
+@query(f"WITH {FINDINGS_SQL} SELECT vulnerability_type, count(*) AS n, count(DISTINCT file_path) AS files, round(avg(confidence_score), 6) AS mean_confidence FROM findings GROUP BY 1")
 def by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived_findings(spark, sf_dir).groupBy("vulnerability_type").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), F.avg("confidence_score").alias("mean_confidence"))
+    return derived_findings(spark, sf_dir).groupBy("vulnerability_type").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), F.round(F.avg("confidence_score"), 6).alias("mean_confidence"))
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT file_path, array_to_string(list_sort(list(DISTINCT vulnerability_type)), ', ') AS types FROM findings GROUP BY file_path")
@@ -433,10 +433,10 @@ def webhook_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_jobs(events).select("event_id", F.size("changed").alias("n_changed"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    return events.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    return events.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 @query(f"""SELECT conv_id, turn, role, count(*) OVER (PARTITION BY conv_id ORDER BY turn) AS seen, {strip_sql("lag(text) OVER (PARTITION BY conv_id ORDER BY turn)")} AS before FROM conversations""")
