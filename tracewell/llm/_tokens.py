@@ -1,30 +1,36 @@
 """Encoding with the tokenizers library, each distinct piece of text once per task.
 
 A byte-level tokenizer splits its input before every single space between two other characters, and one that drops white
-space splits at every space; what lies between is encoded on its own. So a text's ids are the ids of its pieces in order, and
-pieces recur. Texts with any other white space go to the library whole, as do all texts for a tokenizer of another kind.
+space splits at every space; both split where a run of letters meets a full stop, comma or the like. What lies between is encoded
+on its own. So a text's ids are the ids of its pieces in order, and pieces recur. Texts with any other white space go to a
+byte-level tokenizer whole, as do all texts to a tokenizer of another kind.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
 _ODD_SPACE = re.compile(r"[^\S \n]|\s\s")
-_BYTE_PIECE = re.compile(r"\n| ?[^ \n]+| ")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_BYTE_PIECE = re.compile(rf"\n| ?[{_LATIN}]+(?![^ \n.,;:!?])|[.,;:!?]+(?![^ \n])| ?[^ \n]+| ")
+_WORD_PIECE = re.compile(rf"[{_LATIN}]+(?![^ \n.,;:!?])|[.,;:!?]+(?![^ \n])|[^ \n]+")
 
 
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    ``limit`` bounds the pieces that are remembered; when it is reached they are forgotten and gathered anew.
+    Two tables are kept: ids of what stands between spaces, and ids of the pieces that this is made of. ``limit`` bounds each;
+    a table that reaches it is forgotten and gathered anew.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
@@ -33,29 +39,62 @@ class PieceEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = tokenizer_kind(path)
         self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
+    def _known(self, table: dict[str, bytes], wanted: set[str], ids_of) -> dict[str, bytes]:
+        """The table with all of ``wanted``."""
+        new = list(wanted.difference(table))
+        if len(table) + len(new) > self.limit:
+            table.clear()
+            new = list(wanted)
+        if new:
+            table.update(zip(new, ids_of(new), strict=True))
+        return table
+
+    def _from_pieces(self, texts: list[str]) -> list[bytes]:
+        find = (_BYTE_PIECE if self.kind == "byte" else _WORD_PIECE).findall
+        split = [find(t) for t in texts]
+        get = self._known(self.pieces, set().union(*split), self._ids).__getitem__
+        return [b"".join(map(get, p)) for p in split]
+
+    def _split(self, text: str) -> list[str] | None:
+        """What stands between spaces; None where the text can't be taken apart."""
         if self.kind == "word":
-            return text.replace("\n", " ").split(" ")
-        if self.kind == "byte" and not _ODD_SPACE.search(text):
-            return _BYTE_PIECE.findall(text)
-        return None
+            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+        return text.split(" ") if self.kind == "byte" and not _ODD_SPACE.search(text) else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        wanted = set().union(*(p for p in split if p is not None))
-        new = [p for p in wanted if p not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known, new = {}, list(wanted)
-        if new:
-            self.known.update(zip(new, self._ids(new), strict=True))
+        """As above; the cycle collector is off meanwhile, as it would walk long lists of pieces again and again."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._split(t) for t in texts]
         whole = iter(self._ids([t for t, p in zip(texts, split, strict=True) if p is None]))
-        known = self.known
-        return [next(whole) if p is None else b"".join([known[x] for x in p]) for p in split]
+        if self.kind == "byte":  # all but the first are led by their space
+            first = iter(self._from_pieces([p[0] for p in split if p is not None]))
+            rest = [p if p is None else p[1:] for p in split]
+            space = " "
+        else:
+            first, rest, space = None, split, ""
+        wanted = set().union(*(p for p in rest if p is not None))
+        get = self._known(self.words, wanted, lambda new: self._from_pieces([space + w for w in new])).__getitem__
+        return [next(whole) if p is None else (next(first) if first else b"") + b"".join(map(get, p)) for p in rest]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> PieceEncoder:
+    """One encoder per worker process, so that tasks share what it remembers."""
+    return PieceEncoder(path)
 
 
 def tokenizer_kind(path: str) -> str:

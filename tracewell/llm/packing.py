@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._tokens import PieceEncoder, in_chunks
+from tracewell.llm._tokens import encoder, in_chunks
 
 
 def piece_lengths(n: int, longest: int) -> list[int]:
@@ -35,13 +35,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longes
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        coder, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         part, made = TaskContext.get().partitionId(), dict.fromkeys(range(longest.bit_length()), 0)
         for batch in batches:
             texts, ids = [t or "" for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
             for a, b in in_chunks(texts):
                 rows: list[list] = [[] for _ in names]
-                for doc, coded in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
+                for doc, coded in zip(ids[a:b], coder.encode(texts[a:b]), strict=True):
                     coded += end
                     start, n = 0, len(coded) // 4
                     for length in piece_lengths(n, longest):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._tokens import PieceEncoder, in_chunks
+from tracewell.llm._tokens import encoder, in_chunks
 
 NULL_ID = np.iinfo(np.int64).min
 BATCH_BYTES = 8 << 20
@@ -37,8 +37,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        kind = np.dtype("<u2" if max(encoder.vocab_size, end_id + 1) <= 1 << 16 else "<u4")
+        coder, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        kind = np.dtype("<u2" if max(coder.vocab_size, end_id + 1) <= 1 << 16 else "<u4")
         fs, root = pafs.FileSystem.from_uri(out)
         name, mark = f"shard-{TaskContext.get().partitionId():06d}", uuid.uuid4().hex
         fs.create_dir(root, recursive=True)
@@ -48,7 +48,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
             ids.append(batch.column(0).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype("<i8"))
             for a, b in in_chunks(texts):
                 sink = sink or fs.open_output_stream(f"{root}/{name}.bin.{mark}")
-                coded = [x + end for x in encoder.encode(texts[a:b])]
+                coded = [x + end for x in coder.encode(texts[a:b])]
                 lengths += [len(x) // 4 for x in coded]
                 sink.write(np.frombuffer(b"".join(coded), "<u4").astype(kind).tobytes())
         if not lengths:
