@@ -404,3 +404,23 @@ def test_levels_match_brute_force(spark):
         want |= new
     got = topological_levels(spark.createDataFrame([(n,) for n in names], "call_id string"), spark.createDataFrame(edges, "call_id string, needed string")).collect()
     assert len(got) == len(want) and {x.call_id: x.level for x in got} == want
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.83 are found, pairs of 0.70 to 0.79 are kept apart, and a common passage links nothing."""
+    r = np.random.default_rng(11)
+    passage = " ".join(f"common{k}" for k in range(60))
+    rows, want = [], {}
+    for k in range(400):
+        text = r.choice([f"w{j}" for j in range(9000)], 200).tolist()
+        lost = int(r.integers(18, 22)) if k % 2 else int(r.integers(24, 35))  # words changed at the end; 196 shingles
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text[:-lost], *(f"n{k}-{j}" for j in range(lost))]))]
+        assert (0.8 <= (196 - lost) / (196 + lost) < 0.84) if k % 2 else (0.69 < (196 - lost) / (196 + lost) < 0.8)
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if k % 2 else 2 * k + 1}
+    for k in range(300):
+        rows.append((5000 + k, passage + " " + " ".join(f"p{k}-{j}" for j in range(60))))
+        want[5000 + k] = 5000 + k
+    rows += [(6000, "x y z"), (6001, "X  y z"), (6002, "x y"), (6003, None)]
+    want |= {6000: 6000, 6001: 6000, 6002: 6002, 6003: 6003}
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

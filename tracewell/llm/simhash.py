@@ -263,21 +263,6 @@ def _groups(prints: DataFrame) -> DataFrame:
     return materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprints")
 
 
-def verified(pairs: DataFrame, groups: DataFrame, most_bits: int) -> DataFrame:
-    """The pairs (a, b) whose whole fingerprints differ in ``most_bits`` at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, -1) for k in (2, 3))
-            near = pa.array(np.bitwise_count(x ^ y).sum(1) <= most_bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
-
-    x, y = (groups.select(F.col("id").alias(k), F.col("fp").alias(f"fp_{k}")) for k in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(run, "a long, b long")
-
-
 def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the least id that links of ``budget`` bits or fewer reach).
 
@@ -292,34 +277,256 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col:
     return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def similarity_bits(similarity: float, bits: int) -> int:
-    """The differing bits that two shingle sets of this Jaccard similarity have on average."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(math.acos(cosine) / math.pi * bits)
+#: An element in the prefixes of more texts than this is put last in the order of elements.
+COMMON = 256
+#: Rounds in which each list is linked to one of its members before all pairs that are still apart are compared.
+ROUNDS = 3
+_ROUNDING = 1e-9
+
+
+#: Nodes that one broadcast holds; more are joined.
+BROADCAST = 2_000_000
+
+
+class Bags:
+    """Bags of shingles, as sorted 64-bit hashes; words met before are not hashed again (``limit`` of them are kept)."""
+
+    def __init__(self, width: int, limit: int = 300_000):
+        self.width, self.limit, self.known = width, limit, {}
+
+    def bag(self, text: str | None) -> np.ndarray:
+        """The second, third... occurrence of a shingle is an element of its own; fewer words than ``width`` are one shingle."""
+        words = _WORD.findall((text or "").lower() if (text or "").isascii() else text.translate(_LOWER))
+        if not words:
+            return np.empty(0, np.uint64)
+        if len(self.known) > self.limit:
+            self.known.clear()
+        known = self.known
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)
+        one = np.array([known[w] for w in words], np.uint64)
+        k = min(self.width, len(one))
+        h = np.full(len(one) - k + 1, k, np.uint64)
+        for a in range(k):
+            h = _mixed(h ^ one[a : len(one) - k + 1 + a], a + 1)
+        h.sort()
+        first = np.r_[True, h[1:] != h[:-1]]
+        if first.all():
+            return h
+        at = np.arange(len(h))
+        again = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+        return np.unique(np.where(again == 0, h, _mixed(h + again * np.uint64(0xD1342543DE82EF95), 1)))
+
+
+def _node(bag: np.ndarray) -> int:
+    """A signed 64-bit hash of a bag, by which equal bags are one node."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(bag.tobytes())).astype(np.int64))
 
 
-#: Fingerprint words that the tries use; links sure by them are as alike as SURE on average, doubtful ones as LEAST or more.
-TRIE_WORDS, SURE, LEAST = 4, 0.89, 0.68
-#: What an estimate from the whole fingerprint strays by, on average; doubtful links may fall short by that.
-SLACK = 0.015
+def _bag_nodes(texts: DataFrame, width: int) -> DataFrame:
+    """doc_id and node (null without words) of every text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = Bags(width)
+        for batch in batches:
+            nodes = [_node(bag) if len(bag := bags.bag(t)) else None for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64())], names=["doc_id", "node"])
+
+    return texts.mapInArrow(run, "doc_id long, node long")
+
+
+def _node_texts(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """node and a text of it, for each node in ``wanted`` (node)."""
+    shared = None
+    if wanted.count() <= BROADCAST:
+        shared = texts.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["node"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, seen = Bags(width), set()
+        nodes = None if shared is None else set(shared.value.tolist())
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                if len(bag := bags.bag(text)) and (node := _node(bag)) not in seen and (nodes is None or node in nodes):
+                    seen.add(node)
+                    out.append((node, text))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], names=["node", "text"])
+
+    found = texts.mapInArrow(run, "node long, text string")
+    return (found if shared is not None else found.join(wanted, "node", "left_semi")).dropDuplicates(["node"])
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 16, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of documents whose word shingles are ``similarity`` alike or more, by wide fingerprints.
 
-    A fingerprint has ``64 * words`` bits. Each 32 of its first 256 are the keys of a trie that is joined with itself within
-    ``budget`` bits. What any of the joins finds is linked if the first 256 bits tell that it is alike well beyond
-    ``similarity``; in doubt, if the whole fingerprints differ in no more bits than sets of that similarity, less ``SLACK``, do
-    on average.
-    Equal fingerprints are one class from the start. Nulls, repeats and empty tables: as in ``simhash_components``, but a text
-    without words is like no other and stands alone.
+def _prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """element, node, size, place: of each bag the elements of which two bags that are ``similarity`` alike share one at least.
+
+    Elements are ordered by their hashes, those in ``common`` (sorted) last. A task gives a node once.
     """
-    prints = materialise(simhash_fingerprints(docs, width, words, id_col, text_col), "simhash")
-    groups = _groups(prints.where(F.col("fp") != F.lit(bytes(8 * words))))
-    bits = 64 * TRIE_WORDS
-    sure, most = (similarity_bits(1 - (1 - similarity) * (1 - v) / 0.2, bits) for v in (SURE, LEAST))
-    keys = groups.where("id is not null").select("id", F.substring("fp", 1, 8 * TRIE_WORDS).alias("fp"))
-    edges = materialise(hamming_edges(keys, budget, 2 * TRIE_WORDS, 32, sure, most).distinct(), "links")
-    doubtful = verified(edges.where("not sure").select("a", "b"), groups, similarity_bits(similarity - SLACK, 64 * words))
-    classes = _classes(groups, edges.where("sure").select("a", "b").unionByName(doubtful))
-    return prints.join(classes, "fp", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, bags, seen = shared.value, Bags(width), set()
+        for batch in batches:
+            out = [[], [], [], []]
+            for text in batch.column(1).to_pylist():
+                bag = bags.bag(text)
+                n = len(bag)
+                if not n or (node := _node(bag)) in seen:
+                    continue
+                seen.add(node)
+                if len(common):
+                    last = common[np.minimum(np.searchsorted(common, bag), len(common) - 1)] == bag
+                    bag = np.r_[bag[~last], bag[last]]
+                own = bag[: n - math.ceil(similarity * n - _ROUNDING) + 1]
+                for column, values in zip(out, (own.view(np.int64), np.full(len(own), node), np.full(len(own), n), np.arange(len(own))), strict=True):
+                    column.append(values)
+            if out[0]:
+                kinds = (np.int64, np.int64, np.int32, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, kinds, strict=True)], names=["element", "node", "size", "place"])
+
+    return texts.mapInArrow(run, "element long, node long, size int, place int")
+
+
+def _by_list(postings: DataFrame, run, schema: str) -> DataFrame:
+    """``run(columns, starts)`` over whole lists (rows of one element), many at once, as arrays."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            element = table.column("element").to_numpy()
+            end = len(element) if last else int(np.searchsorted(element, element[-1]))
+            held[:] = table.slice(end).to_batches()
+            if end:
+                element = element[:end]
+                starts = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
+                yield from run({c: table.column(c).to_numpy()[:end] for c in table.column_names}, starts)
+
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows > 200_000:
+                yield from done(False)
+                rows = max(0, sum(b.num_rows for b in held) - 100_000)  # a longer list is gathered piece by piece
+        if held:
+            yield from done(True)
+
+    parts_n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartition(parts_n, "element").sortWithinPartitions("element").mapInArrow(over, schema)
+
+
+def _shared_lists(postings: DataFrame) -> DataFrame:
+    """The postings of elements that two nodes or more have."""
+
+    def run(columns: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(columns["element"])]))
+        order = np.lexsort((columns["node"], which))  # the same node may come from several tasks
+        node, which = columns["node"][order], which[order]
+        new = np.r_[True, (node[1:] != node[:-1]) | (which[1:] != which[:-1])]
+        order, which = order[new], which[new]
+        order = order[np.bincount(which)[which] > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(v[order]) for v in columns.values()], names=list(columns))
+
+    return _by_list(postings, run, "element long, node long, size int, place int")
+
+
+def candidates(postings: DataFrame, similarity: float, turn: int | None) -> DataFrame:
+    """Pairs (a, b) of a list whose labels differ, whose sizes allow the similarity, and whose places in the list's order
+    allow it if this element is the first that they share: of each list's members with one of them, which ``turn`` chooses, or all.
+    """
+
+    def fits(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        x, y = c["size"][i].astype(np.int64), c["size"][j].astype(np.int64)
+        ok = (c["label"][i] != c["label"][j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - _ROUNDING)
+        ok &= np.minimum(x - c["place"][i], y - c["place"][j]) >= similarity / (1 + similarity) * (x + y) - _ROUNDING
+        a, b = c["node"][i[ok]], c["node"][j[ok]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(c: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(c["element"])
+        long = np.diff(np.r_[starts, n])
+        if turn is not None:
+            rank = _mixed(c["node"].view(np.uint64), turn + 1)
+            order = np.lexsort((rank, np.repeat(np.arange(len(starts)), long)))
+            yield fits(c, order, np.repeat(order[starts], long))
+            return
+        apart = np.minimum.reduceat(c["label"], starts) != np.maximum.reduceat(c["label"], starts)
+        row = np.flatnonzero(np.repeat(apart, long))
+        ends = np.repeat(starts + long, long)[row]
+        many = ends - row - 1
+        total = np.cumsum(many)
+        a = 0
+        while a < len(row):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 1_000_000)))
+            i = np.repeat(row[a:b], many[a:b])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[a:b]) - many[a:b], many[a:b])
+            yield fits(c, i, j)
+            a = b
+
+    return _by_list(postings, run, "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose bags' Jaccard similarity is ``similarity`` or more; ``texts``: node, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = Bags(width)
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = np.sort(np.r_[bags.bag(x), bags.bag(y)])
+                common = int((both[1:] == both[:-1]).sum())
+                near.append(common >= similarity * (len(both) - common) - _ROUNDING)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+
+    if pairs.count() <= BROADCAST // 8:  # so that texts of no pair are not shuffled
+        texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+    x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id of documents that links of Jaccard similarity ``similarity`` or more connect, no pair missed.
+
+    Bags of word shingles are compared, so repeats count. Two bags that are so alike share an element of their prefixes: in any
+    fixed order of all elements, the first ``n - ceil(similarity * n) + 1`` of ``n``. Elements that many prefixes hold go last
+    in the order, so that passages common to many texts make no pairs. Each list of nodes that share an element is first linked
+    to one member, a few times over; then all its pairs that are still in different components are compared. Every link is
+    verified by its exact similarity.
+
+    Equal bags are one class from the start. Nulls, repeats and empty tables: as in ``simhash_components``, but a text without
+    words is like no other and stands alone.
+    """
+    everything = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = materialise(_bag_nodes(everything, width), "bags")
+    texts = everything.where("doc_id is not null")
+    common = np.empty(0, np.uint64)
+    while True:
+        counted = _prefixes(texts, width, similarity, common).groupBy("element").count().where(F.col("count") > COMMON).select("element").toPandas()
+        more = np.union1d(common, counted["element"].to_numpy(np.int64).view(np.uint64))
+        if len(more) <= 1.1 * len(common):  # elements that stay in prefixes though last are counted again
+            break
+        common = more
+    postings = materialise(_shared_lists(_prefixes(texts, width, similarity, common)), "lists")
+    texts = materialise(_node_texts(texts, width, postings.select("node").distinct()), "texts")
+    labels, tried = None, None
+    for turn in [*range(ROUNDS), None]:
+        if labels is None:
+            labelled = postings.withColumn("label", F.col("node"))
+        else:
+            labelled = postings.join(labels, "node", "left").select("element", "node", "size", "place", F.coalesce("label", "node").alias("label"))
+        pairs = candidates(labelled, similarity, turn)
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = materialise(alike(pairs, texts, width, similarity), "links")
+        if labels is not None:
+            found = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)
+        labels = materialise(connected_components(found).toDF("node", "label"), "labels")
+    nodes = prints.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
+    labelled = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
+    classes = labelled.join(least, "label").select("node", "component_id")
+    return prints.join(classes, "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
