@@ -424,3 +424,23 @@ def test_near_duplicates_at_the_threshold(spark):
     want |= {6000: 6000, 6001: 6000, 6002: 6002, 6003: 6003}
     got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_repeated_pieces_against_brute_force():
+    """Items whose pieces recur: an occurrence left of a stretch tried before is found, with its least distance."""
+    assert [d for _, d, _ in ItemMatcher([(1, "the cat sat abcdthe cat sat abcd")], 0.06).match("z " * 100 + "thX cat sat abcdthe cat sat abcd" + " z" * 100)] == [1]
+    r = np.random.default_rng(8)
+    found = 0
+    for _ in range(150):
+        part = "".join(r.choice(list("abc"), int(r.integers(2, 9))))
+        item = (part * 20)[: int(r.integers(20, 50))]
+        copy = list(item)
+        for _ in range(int(r.integers(0, 5))):
+            at = int(r.integers(0, len(copy)))
+            copy[at : at + 1] = [[], ["x"], [copy[at], "y"]][int(r.integers(0, 3))]
+        text = "".join(r.choice(list("abcz"), 30)) + part + "".join(copy) + part + "".join(r.choice(list("abcz"), 30))
+        least = edit_distance_within(item, text)
+        want = [(1, least)] if least <= int(0.1 * len(item)) else []
+        assert [(i, d) for i, d, _ in ItemMatcher([(1, item)], 0.1).match(text)] == want, (item, text)
+        found += len(want)
+    assert found > 40

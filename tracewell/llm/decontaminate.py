@@ -59,34 +59,37 @@ class ItemMatcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = [(i, t, int(rate * len(t)), pattern_masks(t)) for i, t in items]
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        where: dict[str, dict[int, tuple[int, int]]] = defaultdict(dict)  # the least and greatest offset in each item
         for k, (_, text, budget, _) in enumerate(self.items):
             for offset, piece in pieces(text, budget):
-                where[piece].append((k, offset))
+                where[piece][k] = (where[piece].get(k, (offset,))[0], offset)
         self.automaton = ahocorasick.Automaton()
         for piece, at in where.items():
-            self.automaton.add_word(piece, (len(piece), at))
+            self.automaton.add_word(piece, (len(piece), [(k, *offsets) for k, offsets in at.items()]))
         if where:
             self.automaton.make_automaton()
 
     def match(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, distance, end in the normalised text) of each item found, at its least distance, first place first."""
         text, best = normalise(text), {}
-        tried: dict[int, int] = {}
+        tried: dict[int, list[tuple[int, int]]] = {}  # ranges of the text, but those that end before the hit
         if not self.items:
             return []
         for last, (length, at) in self.automaton.iter(text):
-            for k, offset in at:
-                start = last + 1 - length - offset
+            for k, least, greatest in at:
+                start = last + 1 - length
                 _, item, budget, masks = self.items[k]
-                if (k in best and best[k][0] == 0) or tried.get(k, -1) >= start + len(item) + budget:
+                if k in best and best[k][0] == 0:
                     continue
-                a, b = max(0, start - budget), start + len(item) + 2 * budget
                 if not budget:  # the piece is the item
                     best[k] = (0, last + 1)
                     continue
+                left, right = max(0, start - greatest - budget), start - least + len(item) + budget
+                if k in tried and any(a <= left and min(right, len(text)) <= b for a, b in tried[k]):
+                    continue
+                a, b = left, right + budget
                 distance, end = myers_distance(masks, len(item), text[a:b])
-                tried[k] = min(b, len(text))
+                tried[k] = [(x, y) for x, y in tried.get(k, ()) if y > last] + [(a, min(b, len(text)))]
                 if distance <= budget and (k not in best or distance < best[k][0]):
                     best[k] = (distance, a + end)
         return [(self.items[k][0], d, e) for k, (d, e) in sorted(best.items())]
