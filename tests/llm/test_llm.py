@@ -444,3 +444,26 @@ def test_repeated_pieces_against_brute_force():
         assert [(i, d) for i, d, _ in ItemMatcher([(1, item)], 0.1).match(text)] == want, (item, text)
         found += len(want)
     assert found > 40
+
+
+def test_main_text_of_open_heads_and_layout_wrappers(sf_dir):
+    import pyarrow.parquet as pq
+
+    weights = fit_weights(pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist())
+    story, want = "<h2>A title</h2><p>Some words of it.</p>", "A title\nSome words of it."
+    for page in (
+        f"<html><head><title>x</title><meta charset=utf-8><body>{story}",
+        f"<html><head><title>x</title><script>y</script>{story}",
+        f"<head><title>x</title><link rel=a href=b>\n<body><article>{story}</article>",
+        f"<head><title>x</title><main>{story}</main>",
+        f"<body><div class='content with-sidebar'>{story}</div>",
+        f"<body><div id=page-has-menu>{story}</div>",
+        f"<body><div class='no-sidebar wide'>{story}</div>",
+        f"<body><div class='has-left-sidebar'>{story}<div class='sidebar no-print'><p>More of this site</p></div></div>",
+        f"<body><div class='sidebar layout'><div itemprop='articleBody'>{story}</div></div>",
+        f"<body><div class='menu layout'><div class='banner page' role=main>{story}</div></div>",
+        f"<body><article class='post has-comments'>{story}</article>",
+    ):
+        assert main_text(page, weights) == want, page
+    assert main_text("<head><title>x</title>Some words", weights) == "Some words"
+    assert main_text("<body><div class='piano-sidebar'><p>Links</p></div>", weights) == ""

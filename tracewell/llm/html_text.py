@@ -1,7 +1,7 @@
 """Main text of web pages by maximum-scoring subsequence.
 
 A page is a sequence of words and tags. Words score positive, tags negative, with weights learned from labelled pages: those
-that mark their article themselves (``article``, ``main`` or ``itemprop=articleBody``). A tag's weight is the log of how much
+that mark their article themselves (``article``, ``main``, ``role=main`` or ``itemprop=articleBody``). A tag's weight is the log of how much
 more often it stands outside articles than inside. One linear scan finds the contiguous region with the largest sum; elements
 that are boilerplate by their tag, role, class or id are passed over, and so are not part of it.
 """
@@ -30,9 +30,13 @@ _DROP_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|promo\w*|sponsor\w*|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-header|page-header|topbar|announcement|disclaimer|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|skip-link)(?=$|[\s_-])",
     re.I,
 )
+#: Says what a layout has or lacks, as in ``with-sidebar``; the element is not that thing itself.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:with|without|has|no)[_-]\S*", re.I)
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?=$|[\s_-])", re.I)
 _PAGE_HEADER = re.compile(r"(?:^|\s)(?:global-|main-|top-)?header(?=$|\s)", re.I)
 _DROP_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
+#: Elements that don't end an open head.
+_IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 #: Elements whose start closes an open p.
 _ENDS_P = _BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary"}
 
@@ -65,11 +69,14 @@ def _boilerplate(name: str, attrs: str, in_article: bool) -> bool:
         return True
     if not attrs or name in ("html", "body", "main"):
         return False
+    marked = _marked(name, attrs)
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
+        if key in ("class", "id"):
+            value = _LAYOUT.sub("", value)
         if key in ("class", "id") and name == "article" and _COMMENT.search(value):
             return True
-        if name == "article":
+        if name == "article" or marked and key in ("class", "id"):
             continue
         if key in ("class", "id") and (_DROP_NAME.search(value) or not in_article and _PAGE_HEADER.search(value)) or key == "role" and value.lower() in _DROP_ROLE or key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true":
             return True
@@ -77,24 +84,31 @@ def _boilerplate(name: str, attrs: str, in_article: bool) -> bool:
 
 
 def _marked(name: str, attrs: str) -> bool:
-    return name in ("article", "main") or "articlebody" in attrs.lower()
+    if name in ("article", "main"):
+        return True
+    pairs = [(k.lower(), v.strip("\"'").lower().split()) for k, v in _ATTR.findall(attrs)] if attrs else []
+    return any(k == "itemprop" and "articlebody" in v or k == "role" and "main" in v for k, v in pairs)
 
 
 def walk(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """Tokens with whether they stand in a marked article, and whether in boilerplate.
 
-    The first article of a page counts even inside an element whose name looks like boilerplate (``with-sidebar``).
+    The first marked article of a page counts even inside an element whose name looks like boilerplate (``sidebar-layout``). An
+    open head ends where an element or words begin that can't stand in it.
     """
     stack: list[tuple[str, bool, bool]] = []
     met = False
     for kind, name, value in tokens(page):
         top = stack[-1] if stack else ("", False, False)
+        if top[0] == "head" and (kind == "open" and name not in _IN_HEAD or kind == "text" and not value.isspace()):
+            stack.pop()
+            top = stack[-1] if stack else ("", False, False)
         if kind == "open":
             if name in _ENDS_P and top[0] == "p" or name == top[0] and name in ("li", "option", "dt", "dd", "td", "th", "tr"):
                 stack.pop()
                 top = stack[-1] if stack else ("", False, False)
             own = _boilerplate(name, value, top[1])
-            first = not own and not met and name in ("article", "main") and not any(s[0] in _DROP for s in stack)
+            first = not own and not met and _marked(name, value) and not any(s[0] in _DROP for s in stack)
             met = met or first
             inside, bad = top[1] or _marked(name, value), own or top[2] and not first
             yield kind, name, value, inside, bad
@@ -169,7 +183,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def labelled_sample(pages: DataFrame, most: int) -> list[str]:
     """About ``most`` pages that mark an article, chosen by a hash of id and url."""
-    marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b|articlebody"))
+    marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b|articlebody|\brole\s*=\s*[\"']?\s*main\b"))
     n = marked.count()
     return [r.html for r in marked.where(unit_hash("page_id", "url") < F.lit(most / max(1, n))).select("html").limit(2 * most).collect()]
 
