@@ -467,3 +467,14 @@ def test_main_text_of_open_heads_and_layout_wrappers(sf_dir):
         assert main_text(page, weights) == want, page
     assert main_text("<head><title>x</title>Some words", weights) == "Some words"
     assert main_text("<body><div class='piano-sidebar'><p>Links</p></div>", weights) == ""
+
+
+def test_neighbours_of_repeated_rows(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    asked = table.where("vec_id % 50 = 0")
+    rows = lambda t: sorted(tuple(r) for r in nearest_neighbours(t, asked, 5).select("query_id", "rank", "vec_id").collect())
+    once = rows(table)
+    assert len(once) == 5 * asked.count() and rows(table.union(table)) == once
+    near = spark.createDataFrame([(0, [1.0, 0.0])] + [(1, [1.0, 0.01 * k]) for k in range(6)] + [(k, [1.0, 0.1 * k]) for k in range(2, 7)], "vec_id long, embedding array<float>")
+    got = nearest_neighbours(near, near.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and got[0].score == 1.0

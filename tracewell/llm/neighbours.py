@@ -55,7 +55,7 @@ class CollisionIndex:
         self.needed, self.width, self.reach = max(1, int(threshold * projections)), width, reach
 
     def search(self, own: int | None, query: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """(id, cosine) of the ``k`` nearest verified rows but the one of id ``own``; ties to the smaller id."""
+        """(id, cosine) of the ``k`` nearest verified ids but ``own``, each by its best row; ties to the smaller id."""
         n = len(self.ids)
         unit_q, ok = unit(query[None, :])
         if not n or not ok[0]:
@@ -78,7 +78,8 @@ class CollisionIndex:
                 rows = new[self.ids[new] != own] if own is not None else new
                 found = cosines(query, self.original[rows])
                 best_rows, best = np.concatenate([best_rows, rows]), np.concatenate([best, found])
-                keep = np.lexsort((self.ids[best_rows], -best))[:k]
+                keep = np.lexsort((self.ids[best_rows], -best))
+                keep = keep[np.sort(np.unique(self.ids[best_rows[keep]], return_index=True)[1])[:k]]  # the best row of each id
                 best_rows, best = best_rows[keep], best[keep]
             # A vector at distance d strays by d * scale on a line, on average.
             reach = np.sqrt(max(0.0, 2 - 2 * best[-1])) if len(best) >= k else np.inf
