@@ -24,6 +24,7 @@ from tracewell.llm._tokens import encoder, in_chunks
 
 NULL_ID = np.iinfo(np.int64).min
 BATCH_BYTES = 8 << 20
+SHARD_BYTES = 256 << 20
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> list[dict]:
@@ -31,13 +32,17 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
 
     A null text is empty and gives the end id alone; a null id is written as the smallest 64-bit integer and comes first.
     Rows with equal ids are all written, side by side, longer texts after shorter ones. An empty table gives no shards.
-    Extra columns are ignored. Returns the manifest: one entry per shard with its base.
+    Extra columns are ignored. Special tokens' strings in a text become their single ids, as the library does by default. Where
+    ``shards`` isn't given, there is one for each ``SHARD_BYTES`` of text, and one per shuffle partition at least. Returns the
+    manifest: one entry per shard with its base.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        coder = encoder(tokenizer_path)
         kind = np.dtype("<u2" if max(coder.vocab_size, end_id + 1) <= 1 << 16 else "<u4")
         fs, root = pafs.FileSystem.from_uri(out)
         name, mark = f"shard-{TaskContext.get().partitionId():06d}", uuid.uuid4().hex
@@ -48,19 +53,19 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
             ids.append(batch.column(0).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype("<i8"))
             for a, b in in_chunks(texts):
                 sink = sink or fs.open_output_stream(f"{root}/{name}.bin.{mark}")
-                coded = [x + end for x in coder.encode(texts[a:b])]
-                lengths += [len(x) // 4 for x in coded]
-                sink.write(np.frombuffer(b"".join(coded), "<u4").astype(kind).tobytes())
-        if not lengths:
+                coded, ends = coder.encode_flat(texts[a:b], end_id)
+                lengths.append(np.diff(ends))
+                sink.write(coded.astype(kind).tobytes())
+        if sink is None:
             return
         sink.close()
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<i8")
         for ending, data in (("idx", offsets), ("doc", np.concatenate(ids))):
             with fs.open_output_stream(f"{root}/{name}.{ending}.{mark}") as f:
                 f.write(data.tobytes())
         for ending in ("bin", "idx", "doc"):
             fs.move(f"{root}/{name}.{ending}.{mark}", f"{root}/{name}.{ending}")
-        yield pa.RecordBatch.from_pydict({"shard": [name], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])], "width": pa.array([kind.itemsize], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"shard": [name], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])], "width": pa.array([kind.itemsize], pa.int32())})
 
     rows = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
