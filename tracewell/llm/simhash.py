@@ -14,9 +14,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm._shared import materialise
@@ -277,15 +278,20 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col:
     return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-#: An element in the prefixes of more texts than this is put last in the order of elements.
-COMMON = 256
-#: Rounds in which each list is linked to one of its members before all pairs that are still apart are compared.
+#: An element in the prefixes of more texts than this is put last in the order of elements, if it is among so many most common.
+COMMON, MOST_COMMON = 256, 1_000_000
+#: Rounds in which each list is linked to one of its members before members that are still apart are compared.
 ROUNDS = 3
-_ROUNDING = 1e-9
-
-
-#: Nodes that one broadcast holds; more are joined.
+#: 64-bit words of the fingerprints that sort out candidates, and the bits in which two may differ. Of 512 bits, bags of
+#: similarity 0.8 differ in 76 with a standard deviation of 8; bags of fewer elements than ``SMALL`` are not sorted out.
+FILTER_WORDS, FILTER_BITS, SMALL = 8, 130, 6
+#: Rows of each side of a cell in which members of a region are compared.
+CELL = 1024
+#: Elements that more rows of a cell have are counted by a matrix product.
+OFTEN = 64
+#: Rows that one broadcast holds; more are joined by shuffling.
 BROADCAST = 2_000_000
+_ROUNDING = 1e-9
 
 
 class Bags:
@@ -323,41 +329,34 @@ def _node(bag: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(bag.tobytes())).astype(np.int64))
 
 
-def _bag_nodes(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id and node (null without words) of every text."""
+def _wide_fingerprint(bag: np.ndarray) -> np.ndarray:
+    """``FILTER_WORDS`` signed words; a bit is 1 if it is set in over half of the bag's hashes."""
+    bits = np.zeros(64 * FILTER_WORDS, np.int64)
+    for a in range(0, len(bag), 255):  # so many that sums fit a byte
+        part = np.stack([_mixed(bag[a : a + 255], k) for k in range(FILTER_WORDS)], axis=1)
+        bits += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * bits > len(bag), bitorder="little").view("<i8")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags = Bags(width)
-        for batch in batches:
-            nodes = [_node(bag) if len(bag := bags.bag(t)) else None for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64())], names=["doc_id", "node"])
 
-    return texts.mapInArrow(run, "doc_id long, node long")
+_FP = [f"f{k}" for k in range(FILTER_WORDS)]
 
 
-def _node_texts(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """node and a text of it, for each node in ``wanted`` (node)."""
-    shared = None
-    if wanted.count() <= BROADCAST:
-        shared = texts.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["node"].to_numpy(np.int64)))
+def _bag_nodes(texts: DataFrame, width: int) -> DataFrame:
+    """doc_id, node, size and fingerprint words of every text; all but doc_id are null without words."""
+    names = ["doc_id", "node", "size", *_FP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags, seen = Bags(width), set()
-        nodes = None if shared is None else set(shared.value.tolist())
+        bags = Bags(width)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                if len(bag := bags.bag(text)) and (node := _node(bag)) not in seen and (nodes is None or node in nodes):
-                    seen.add(node)
-                    out.append((node, text))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], names=["node", "text"])
+            rows = [(_node(bag), len(bag), *_wide_fingerprint(bag).tolist()) if len(bag := bags.bag(t)) else (None,) * (len(names) - 1) for t in batch.column(1).to_pylist()]
+            columns = zip(*rows, strict=True) if rows else [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
-    found = texts.mapInArrow(run, "node long, text string")
-    return (found if shared is not None else found.join(wanted, "node", "left_semi")).dropDuplicates(["node"])
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """element, node, size, place: of each bag the elements of which two bags that are ``similarity`` alike share one at least.
+    """element, node, size: of each bag the elements of which two bags that are ``similarity`` alike share one at least.
 
     Elements are ordered by their hashes, those in ``common`` (sorted) last. A task gives a node once.
     """
@@ -366,136 +365,204 @@ def _prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, bags, seen = shared.value, Bags(width), set()
         for batch in batches:
-            out = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
+            out: list[list] = [[], [], []]
+            for text in batch.column(0).to_pylist():
                 bag = bags.bag(text)
                 n = len(bag)
                 if not n or (node := _node(bag)) in seen:
                     continue
-                seen.add(node)
+                if len(seen) < BROADCAST:  # repeats beyond are harmless
+                    seen.add(node)
                 if len(common):
                     last = common[np.minimum(np.searchsorted(common, bag), len(common) - 1)] == bag
                     bag = np.r_[bag[~last], bag[last]]
                 own = bag[: n - math.ceil(similarity * n - _ROUNDING) + 1]
-                for column, values in zip(out, (own.view(np.int64), np.full(len(own), node), np.full(len(own), n), np.arange(len(own))), strict=True):
+                for column, values in zip(out, (own.view(np.int64), np.full(len(own), node), np.full(len(own), n, np.int32)), strict=True):
                     column.append(values)
             if out[0]:
-                kinds = (np.int64, np.int64, np.int32, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, kinds, strict=True)], names=["element", "node", "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["element", "node", "size"])
 
-    return texts.mapInArrow(run, "element long, node long, size int, place int")
+    return texts.select("text").mapInArrow(run, "element long, node long, size int")
 
 
-def _by_list(postings: DataFrame, run, schema: str) -> DataFrame:
-    """``run(columns, starts)`` over whole lists (rows of one element), many at once, as arrays."""
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for a broadcast, if it has no more ``rows`` than one holds."""
+    return F.broadcast(df) if rows <= BROADCAST else df
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def done(last: bool) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            element = table.column("element").to_numpy()
-            end = len(element) if last else int(np.searchsorted(element, element[-1]))
-            held[:] = table.slice(end).to_batches()
-            if end:
-                element = element[:end]
-                starts = np.flatnonzero(np.r_[True, element[1:] != element[:-1]])
-                yield from run({c: table.column(c).to_numpy()[:end] for c in table.column_names}, starts)
+def _lists(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, int]:
+    """element, node, size: prefix elements that two nodes or more have; and the number of such elements.
+
+    One count of all prefixes finds the most common elements, which then go last; that order bears on cost alone.
+    """
+    counted = _prefixes(texts, width, similarity, np.empty(0, np.uint64)).groupBy("element").count().where(F.col("count") > COMMON)
+    rows = counted.orderBy(F.desc("count"), "element").limit(MOST_COMMON).select("element").toPandas()
+    common = np.sort(rows["element"].to_numpy(np.int64).view(np.uint64))
+    postings = materialise(_prefixes(texts, width, similarity, common), "postings")
+    shared = materialise(postings.groupBy("element").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("element", "n"), "shared")
+    n = shared.count()
+    return materialise(postings.join(_small(shared, n), "element"), "lists"), n
+
+
+def _sizes_fit(a: str, b: str, similarity: float) -> Column:
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(_ROUNDING)
 
-        rows = 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
-            if rows > 200_000:
-                yield from done(False)
-                rows = max(0, sum(b.num_rows for b in held) - 100_000)  # a longer list is gathered piece by piece
-        if held:
-            yield from done(True)
 
-    parts_n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return postings.repartition(parts_n, "element").sortWithinPartitions("element").mapInArrow(over, schema)
+def _prints_fit(a: str, b: str) -> Column:
+    """Whether the fingerprints of two nodes differ in ``FILTER_BITS`` bits at most, or a bag is too small to tell."""
+    apart = sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _FP), F.lit(0))
+    return (F.least(f"{a}.size", f"{b}.size") < SMALL) | (apart <= FILTER_BITS)
 
 
-def _shared_lists(postings: DataFrame) -> DataFrame:
-    """The postings of elements that two nodes or more have."""
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    def run(columns: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(columns["element"])]))
-        order = np.lexsort((columns["node"], which))  # the same node may come from several tasks
-        node, which = columns["node"][order], which[order]
-        new = np.r_[True, (node[1:] != node[:-1]) | (which[1:] != which[:-1])]
-        order, which = order[new], which[new]
-        order = order[np.bincount(which)[which] > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(v[order]) for v in columns.values()], names=list(columns))
 
-    return _by_list(postings, run, "element long, node long, size int, place int")
+def hub_pairs(lists: DataFrame, elements: int, similarity: float, turn: int) -> DataFrame:
+    """Pairs (a, b) of each list's members with one of them, which ``turn`` chooses, if their sizes allow the similarity."""
+    hubs = _hubs(lists, turn)
+    return lists.join(_small(hubs, elements), "element").where(F.col("node") != F.col("hub")).where(_sizes_fit("size", "hub_size", similarity)).select(*_ordered("node", "hub")).distinct()
 
 
-def candidates(postings: DataFrame, similarity: float, turn: int | None) -> DataFrame:
-    """Pairs (a, b) of a list whose labels differ, whose sizes allow the similarity, and whose places in the list's order
-    allow it if this element is the first that they share: of each list's members with one of them, which ``turn`` chooses, or all.
+def _hubs(lists: DataFrame, turn: int) -> DataFrame:
+    least = lists.groupBy("element").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node", "size")).alias("h"))
+    return least.select("element", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"))
+
+
+def open_pairs(lists: DataFrame, elements: int, nodes: DataFrame, labels: DataFrame, regions: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of one list in different regions whose sizes and fingerprints allow the similarity.
+
+    The members whose label is not that of the list's hub meet all others. The others are dealt out over blocks of about
+    ``COMMON``, and the former are sent to each block, so no task meets a whole long list.
+    """
+    labelled = lists.join(labels, "node", "left").join(regions, "node", "left").withColumns({c: F.coalesce(c, "node") for c in ("label", "region")})
+    hubs = _hubs(lists, 0).join(labels.withColumnRenamed("node", "hub"), "hub", "left").select("element", F.coalesce("label", "hub").alias("hub_label"))
+    labelled = labelled.join(_small(hubs, elements), "element")
+    apart = labelled.where("label <> hub_label").select("element").distinct()
+    open_ = labelled.join(apart, "element", "left_semi").join(nodes.select("node", *_FP), "node")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / COMMON)).cast("int")
+    row = F.struct("node", "size", "label", "region", "hub_label", *_FP)
+    left = open_.where("label <> hub_label").select("element", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), row.alias("x"))
+    right = open_.select("element", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), row.alias("y"))
+    met = left.join(right, ["element", "block"]).where("x.label <> y.label and x.region <> y.region and (y.label = y.hub_label or x.node < y.node)")
+    return met.where(_sizes_fit("x.size", "y.size", similarity) & _prints_fit("x", "y")).select(*_ordered("x.node", "y.node")).distinct()
+
+
+def linked_pairs(x: list[np.ndarray], y: list[np.ndarray], allowed: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``x`` and ``y`` of pairs of sets that connect just what the allowed pairs of the similarity connect.
+
+    A link may be too many where elements that were cut to 32 bits meet, none is too few.
+    """
+    size = np.array([len(v) for v in [*x, *y]])
+    row, element = np.repeat(np.arange(len(size)), size), np.concatenate([*x, *y])
+    lost = np.zeros(len(size), np.int64)  # elements of one bag that are equal now
+    order = np.lexsort((element, row))
+    row, element = row[order], element[order]
+    same = np.r_[False, (row[1:] == row[:-1]) & (element[1:] == element[:-1])]
+    np.add.at(lost, row[same], 1)
+    row, element = row[~same], element[~same]
+    _, column, count = np.unique(element, return_inverse=True, return_counts=True)
+    row, column = row[count[column] > 1], column[count[column] > 1]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = (lost[: len(x), None] + lost[None, len(x) :]).astype(np.float32)
+    often = np.bincount(column)[column] > OFTEN
+    held = np.zeros((len(size), len(dense := np.unique(column[often]))), np.float32)
+    held[row[often], np.searchsorted(dense, column[often])] = 1
+    for a in range(0, len(dense), 4096):
+        common += held[: len(x), a : a + 4096] @ held[len(x) :, a : a + 4096].T
+    row, column = row[~often], column[~often]
+    mine, theirs = row < len(x), row >= len(x)
+    first = np.searchsorted(column[theirs], column[mine])  # each of the other side's rows with this element
+    many = np.searchsorted(column[theirs], column[mine], "right") - first
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first, many)
+    place = np.repeat(row[mine], many) * len(y) + row[theirs][at] - len(x)
+    common += np.bincount(place, minlength=common.size).reshape(common.shape)
+    i, j = np.nonzero(allowed & (common >= similarity / (1 + similarity) * (size[: len(x), None] + size[None, len(x) :]) - 1e-3))
+    forest, found = Forest(len(size)), []
+    while len(i):
+        roots = forest.root[i], forest.root[len(x) + j]
+        apart = roots[0] != roots[1]
+        i, j = i[apart], j[apart]
+        if len(i):
+            pick = np.unique(np.r_[np.unique(roots[0][apart], return_index=True)[1], np.unique(roots[1][apart], return_index=True)[1]])
+            found.append((i[pick], j[pick]))
+            forest.add(i[pick], len(x) + j[pick])
+    return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])) if found else (i, j)
+
+
+def region_pairs(regions: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) that connect what links inside a region connect; ``regions``: node, region.
+
+    Members whose label is not their region's most frequent one meet all others, in cells of about ``CELL`` rows a side, where
+    whole bags of 32-bit elements are compared. A cell returns no more pairs than it has rows.
     """
+    labelled = regions.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counted = labelled.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("n"), F.max("count").alias("m"))
+    members = labelled.join(counted.where("n > m"), "region")
+    wanted = members.join(nodes.select("node", F.col("id").alias("doc_id")), "node").select("node", "doc_id")
 
-    def fits(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        x, y = c["size"][i].astype(np.int64), c["size"][j].astype(np.int64)
-        ok = (c["label"][i] != c["label"][j]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - _ROUNDING)
-        ok &= np.minimum(x - c["place"][i], y - c["place"][j]) >= similarity / (1 + similarity) * (x + y) - _ROUNDING
-        a, b = c["node"][i[ok]], c["node"][j[ok]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    def run(c: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = len(c["element"])
-        long = np.diff(np.r_[starts, n])
-        if turn is not None:
-            rank = _mixed(c["node"].view(np.uint64), turn + 1)
-            order = np.lexsort((rank, np.repeat(np.arange(len(starts)), long)))
-            yield fits(c, order, np.repeat(order[starts], long))
-            return
-        apart = np.minimum.reduceat(c["label"], starts) != np.maximum.reduceat(c["label"], starts)
-        row = np.flatnonzero(np.repeat(apart, long))
-        ends = np.repeat(starts + long, long)[row]
-        many = ends - row - 1
-        total = np.cumsum(many)
-        a = 0
-        while a < len(row):
-            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 1_000_000)))
-            i = np.repeat(row[a:b], many[a:b])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[a:b]) - many[a:b], many[a:b])
-            yield fits(c, i, j)
-            a = b
-
-    return _by_list(postings, run, "a long, b long").distinct()
-
-
-def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags' Jaccard similarity is ``similarity`` or more; ``texts``: node, text."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags = Bags(width)
+        for batch in batches:
+            made = [bags.bag(t) for t in batch.column(1).to_pylist()]
+            right = pa.array([_node(b) == node for b, node in zip(made, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            rows = pa.array([b.astype("<u4").tobytes() for b in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(right), rows.filter(right)], names=["node", "bag"])
+
+    found = texts.join(_small(wanted, wanted.count()), "doc_id").select("node", "text").mapInArrow(cut, "node long, bag binary").dropDuplicates(["node"])
+    members = members.join(found, "node")
+    mine, theirs = (F.greatest(F.lit(1), F.ceil(F.expr(n) / CELL)).cast("int") for n in ("n - m", "n"))
+    x = members.where("label <> most").select("region", F.pmod(F.xxhash64("node", F.lit(1)), mine).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), theirs - 1)).alias("q"), F.lit(True).alias("left"), "node", "label", "most", "bag")
+    y = members.select("region", F.explode(F.sequence(F.lit(0), mine - 1)).alias("p"), F.pmod(F.xxhash64("node"), theirs).cast("int").alias("q"), F.lit(False).alias("left"), "node", "label", "most", "bag")
+
+    def meet(cell: pd.DataFrame) -> pd.DataFrame:
+        x, y = cell[cell.left], cell[~cell.left]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, np.int64)
+        a, b = x.node.to_numpy(), y.node.to_numpy()
+        own, other = x.label.to_numpy()[:, None], y.label.to_numpy()[None, :]
+        allowed = (own != other) & ((other == y.most.iloc[0]) | (a[:, None] < b[None, :]))
+        i, j = linked_pairs(*([np.frombuffer(v, "<u4") for v in side.bag] for side in (x, y)), allowed, similarity)
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+
+    return x.unionByName(y).groupBy("region", "p", "q").applyInPandas(meet, "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose bags' Jaccard similarity is ``similarity`` or more.
+
+    ``nodes``: node and the id of a text of it; ``texts``: doc_id, text. Rows that repeat the id with another text are told
+    apart by the node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = Bags(width)
         for batch in batches:
             near = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = np.sort(np.r_[bags.bag(x), bags.bag(y)])
+            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                x, y = bags.bag(x), bags.bag(y)
+                both = np.sort(np.r_[x, y])
                 common = int((both[1:] == both[:-1]).sum())
-                near.append(common >= similarity * (len(both) - common) - _ROUNDING)
+                near.append(common >= similarity * (len(both) - common) - _ROUNDING and _node(x) == a and _node(y) == b)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    if pairs.count() <= BROADCAST // 8:  # so that texts of no pair are not shuffled
-        texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
-    x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("id").alias("doc_id")), "node")
+    found = texts.join(_small(wanted, 2 * pairs.count()), "doc_id").select("node", "text").distinct()  # texts of no pair are not shuffled
+    x, y = (found.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of documents that links of Jaccard similarity ``similarity`` or more connect, no pair missed.
+    """doc_id and component_id of documents that links of Jaccard similarity ``similarity`` or more connect.
 
     Bags of word shingles are compared, so repeats count. Two bags that are so alike share an element of their prefixes: in any
     fixed order of all elements, the first ``n - ceil(similarity * n) + 1`` of ``n``. Elements that many prefixes hold go last
-    in the order, so that passages common to many texts make no pairs. Each list of nodes that share an element is first linked
-    to one member, a few times over; then all its pairs that are still in different components are compared. Every link is
-    verified by its exact similarity.
+    in the order, so that passages common to many texts make few pairs. Each list of nodes that share an element is first linked
+    to one member, a few times over. Members whose fingerprints are near that member's are a region, which is compared in cells;
+    last, members of one list that are in different components and regions are compared. Fingerprints of 512 bits sort out
+    candidates (a pair of similarity 0.8 stays but for one in ten billion), and every link is verified by its exact similarity.
 
     Equal bags are one class from the start. Nulls, repeats and empty tables: as in ``simhash_components``, but a text without
     words is like no other and stands alone.
@@ -503,29 +570,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     everything = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(_bag_nodes(everything, width), "bags")
     texts = everything.where("doc_id is not null")
-    common = np.empty(0, np.uint64)
-    while True:
-        counted = _prefixes(texts, width, similarity, common).groupBy("element").count().where(F.col("count") > COMMON).select("element").toPandas()
-        more = np.union1d(common, counted["element"].to_numpy(np.int64).view(np.uint64))
-        if len(more) <= 1.1 * len(common):  # elements that stay in prefixes though last are counted again
-            break
-        common = more
-    postings = materialise(_shared_lists(_prefixes(texts, width, similarity, common)), "lists")
-    texts = materialise(_node_texts(texts, width, postings.select("node").distinct()), "texts")
-    labels, tried = None, None
-    for turn in [*range(ROUNDS), None]:
-        if labels is None:
-            labelled = postings.withColumn("label", F.col("node"))
+    first = [F.first(c).alias(c) for c in ["size", *_FP]]  # equal for all rows of a node
+    nodes = materialise(prints.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"), *first), "nodes")
+    lists, elements = _lists(texts, width, similarity)
+    labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    tried, regions = None, None
+    for turn in [*range(ROUNDS), "within", "between"]:
+        if turn == "within":
+            regions = materialise(connected_components(tried).toDF("node", "region"), "regions")
+            pairs = region_pairs(regions, nodes, labels, texts, width, similarity)
+        elif turn == "between":
+            pairs = open_pairs(lists, elements, nodes, labels, regions, similarity)
         else:
-            labelled = postings.join(labels, "node", "left").select("element", "node", "size", "place", F.coalesce("label", "node").alias("label"))
-        pairs = candidates(labelled, similarity, turn)
+            x, y = (nodes.select(F.col("node").alias(k), F.struct("size", *_FP).alias(f"of_{k}")) for k in "ab")
+            pairs = hub_pairs(lists, elements, similarity, turn)
+            for k in "ab":
+                pairs = pairs.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")), k, "left")
+            pairs = pairs.where("coalesce(label_a, a) <> coalesce(label_b, b)").join(x, "a").join(y, "b").where(_prints_fit("of_a", "of_b")).select("a", "b")
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialise(alike(pairs, texts, width, similarity), "links")
-        if labels is not None:
-            found = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)
+        found = alike(pairs, nodes, texts, width, similarity)
+        found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = materialise(connected_components(found).toDF("node", "label"), "labels")
-    nodes = prints.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"))
     labelled = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     classes = labelled.join(least, "label").select("node", "component_id")
