@@ -7,6 +7,7 @@ centroid by cosine; a text further from it than the language's labelled texts ar
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,23 +108,34 @@ def fit_centroids(texts: list[str], languages: list[str], per_language: int = 4)
     return model
 
 
-def labelled_texts(docs: DataFrame, per_language: int) -> list:
+def labelled_texts(docs: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` texts of each language, chosen by a hash of the id; all of a language that has fewer."""
     known = docs.where("lang is not null and text is not null")
     shares = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
     chosen = known.join(F.broadcast(shares), "lang").where(unit_hash("doc_id") < F.col("share"))  # a row per language
-    return chosen.select("doc_id", "lang", "text").orderBy("doc_id").collect()
+    return chosen.select("doc_id", "lang", "text")
+
+
+def fitted(sample: DataFrame, per_language: int) -> CentroidModel:
+    """The model fitted on ``sample`` (doc_id, lang, text), whose size is bounded, in one task; the driver gets the centroids."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        model = fit_centroids([t for *_, t in rows], [lang for _, lang, _ in rows], per_language)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    made = sample.repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(made.model) if made else fit_centroids([], [], per_language)
 
 
 def identify_language(docs: DataFrame, training: DataFrame, sample_per_language: int = 600, per_language: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, rejected and the columns ``carry`` for every row of ``docs``, with a model fitted on rows of ``training`` (doc_id, text, lang).
 
-    About ``sample_per_language`` texts of each language are used and must fit the driver. Texts that are null or have no letter
+    About ``sample_per_language`` texts of each language are used and must fit one task. Texts that are null or have no letter
     give ``und``, score 0, rejected. Ties between centroids go to the first language. Repeated rows and null ids are kept; an
     empty table gives no rows; without any labelled text all are ``und``. Extra columns are ignored.
     """
-    rows = labelled_texts(training, sample_per_language)
-    model = docs.sparkSession.sparkContext.broadcast(fit_centroids([r.text for r in rows], [r.lang for r in rows], per_language))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_texts(training, sample_per_language), per_language))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -290,7 +290,7 @@ CELL = 1024
 #: Elements that more rows of a cell have are counted by a matrix product.
 OFTEN = 64
 #: Rows that one broadcast holds; more are joined by shuffling.
-BROADCAST = 2_000_000
+BROADCAST = 200_000
 _ROUNDING = 1e-9
 
 
@@ -371,7 +371,7 @@ def _prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarra
                 n = len(bag)
                 if not n or (node := _node(bag)) in seen:
                     continue
-                if len(seen) < BROADCAST:  # repeats beyond are harmless
+                if len(seen) < 1_000_000:  # repeats beyond are harmless
                     seen.add(node)
                 if len(common):
                     last = common[np.minimum(np.searchsorted(common, bag), len(common) - 1)] == bag

@@ -8,6 +8,7 @@ random at first, and later those that score worst. All vectors of words start at
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -337,7 +338,7 @@ class Scorer:
         return np.where(worded, _sigmoid(np.maximum.reduceat(logit, first).astype(np.float64) + self.net.shift), 0.0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_of_each: int) -> list:
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_of_each: int) -> DataFrame:
     """At most ``most_of_each`` texts of each label and of ``MOST_CHARS`` characters or fewer, those first by a hash of the id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").distinct()
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows at most
@@ -345,21 +346,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_of_each: int) -> li
     some = known.where(unit_hash("doc_id") < share)  # enough, though some are too long or not in docs
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MOST_CHARS)
     found = texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").distinct()
-    return [r for toxic in (0, 1) for r in found.where(F.col("toxic") == toxic).orderBy(unit_hash("doc_id"), "doc_id", "text").limit(most_of_each).collect()]
+    of = [found.where(F.col("toxic") == toxic).orderBy(unit_hash("doc_id"), "doc_id", "text").limit(most_of_each) for toxic in (0, 1)]
+    return of[0].unionByName(of[1])
+
+
+def fitted(sample: DataFrame, epochs: int) -> GatedNetwork:
+    """The network trained on ``sample`` (doc_id, text, toxic), whose size is bounded, in one task; the driver gets its weights."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0]), 3), r[1], r[2]))
+        net = train([t for _, t, _ in rows], [y for *_, y in rows], epochs)
+        yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    made = sample.coalesce(1).mapInArrow(fit, "net binary").first()
+    return pickle.loads(made.net) if made else train([], [])
 
 
 def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, sample_of_each: int = 2000, epochs: int = 8, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score and the columns ``carry`` for every whole text of ``docs``, by a network trained on labelled texts of ``training``.
 
-    At most ``sample_of_each`` texts of each label are used, of ``MOST_CHARS`` characters or fewer, so what the driver holds is
-    bounded. Null and empty texts, and texts without
+    At most ``sample_of_each`` texts of each label are used, of ``MOST_CHARS`` characters or fewer, so what the task
+    that trains holds is bounded. Null and empty texts, and texts without
     words, score 0. Repeated rows and null ids are kept; an empty table gives no rows; with
     labels of one kind or none every score is near 0. Extra columns are ignored unless carried.
     """
     if {"doc_id", "score"} & set(carry):
         raise ValueError("doc_id and score are made here and can't be carried along")
-    rows = sorted(labelled_sample(training, labels, sample_of_each), key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id), 3), r.text, r.toxic))
-    shared = docs.sparkSession.sparkContext.broadcast(train([r.text for r in rows], [r.toxic for r in rows], epochs))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(training, labels, sample_of_each), epochs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
