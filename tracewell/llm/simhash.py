@@ -297,7 +297,7 @@ _ROUNDING = 1e-9
 class Bags:
     """Bags of shingles, as sorted 64-bit hashes; words met before are not hashed again (``limit`` of them are kept)."""
 
-    def __init__(self, width: int, limit: int = 300_000):
+    def __init__(self, width: int, limit: int = 200_000):
         self.width, self.limit, self.known = width, limit, {}
 
     def bag(self, text: str | None) -> np.ndarray:
@@ -341,6 +341,12 @@ def _wide_fingerprint(bag: np.ndarray) -> np.ndarray:
 _FP = [f"f{k}" for k in range(FILTER_WORDS)]
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that few texts and what is made of them are held as Python objects at a time."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def _bag_nodes(texts: DataFrame, width: int) -> DataFrame:
     """doc_id, node, size and fingerprint words of every text; all but doc_id are null without words."""
     names = ["doc_id", "node", "size", *_FP]
@@ -348,9 +354,9 @@ def _bag_nodes(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = Bags(width)
         for batch in batches:
-            rows = [(_node(bag), len(bag), *_wide_fingerprint(bag).tolist()) if len(bag := bags.bag(t)) else (None,) * (len(names) - 1) for t in batch.column(1).to_pylist()]
-            columns = zip(*rows, strict=True) if rows else [()] * (len(names) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=names)
+            for some in _slices(batch):
+                rows = [(_node(bag), len(bag), *_wide_fingerprint(bag).tolist()) if len(bag := bags.bag(t)) else (None,) * (len(names) - 1) for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=names)
 
     return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -364,7 +370,7 @@ def _prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, bags, seen = shared.value, Bags(width), set()
-        for batch in batches:
+        for batch in (some for batch in batches for some in _slices(batch)):
             out: list[list] = [[], [], []]
             for text in batch.column(0).to_pylist():
                 bag = bags.bag(text)
@@ -505,7 +511,7 @@ def region_pairs(regions: DataFrame, nodes: DataFrame, labels: DataFrame, texts:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = Bags(width)
-        for batch in batches:
+        for batch in (some for batch in batches for some in _slices(batch)):
             made = [bags.bag(t) for t in batch.column(1).to_pylist()]
             right = pa.array([_node(b) == node for b, node in zip(made, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             rows = pa.array([b.astype("<u4").tobytes() for b in made], pa.binary())
@@ -539,7 +545,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, simi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = Bags(width)
-        for batch in batches:
+        for batch in (some for batch in batches for some in _slices(batch)):
             near = []
             for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 x, y = bags.bag(x), bags.bag(y)

@@ -49,12 +49,18 @@ class Words:
 
     @classmethod
     def of(cls, words: list[str]) -> Words:
+        parts = [cls._of(words[a : a + 20_000]) for a in range(0, len(words), 20_000)]  # few intermediate values at a time
+        base = np.cumsum([0, *(len(p.chars) for p in parts)])
+        return cls(np.concatenate([p.bucket for p in parts]), np.concatenate([p.chars for p in parts]), np.concatenate([p.first + b for p, b in zip(parts, base, strict=False)]), np.concatenate([p.size for p in parts]))
+
+    @classmethod
+    def _of(cls, words: list[str]) -> Words:
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         size = np.array([len(w) for w in words], np.int64)
         first = np.cumsum(size) - size
         place = np.arange(len(codes)) - np.repeat(first, size)
         h = _mix((codes + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint64)
-        whole = np.add.reduceat((h + np.uint64(1)) * (h + np.uint64(12345)), first) if len(words) else np.empty(0, np.uint64)
+        whole = np.add.reduceat((h + np.uint64(1)) * (h + np.uint64(12345)), first)
         return cls(_mix(whole), (codes % np.uint64(CHARS)).astype(np.int32), first, size)
 
     def some(self, which: np.ndarray) -> Words:
@@ -315,7 +321,7 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
 class Scorer:
     """Scores whole texts; the words met are kept up to ``limit`` and then gathered anew."""
 
-    def __init__(self, net: GatedNetwork, limit: int = 300_000):
+    def __init__(self, net: GatedNetwork, limit: int = 120_000):
         self.net, self.limit = net, limit
         self.reset()
 
