@@ -29,6 +29,7 @@ BUCKETS = 1 << 16
 MOST_FALSE = 0.02  # of the clean texts kept from training, the share that may score 0.5 or more
 LEAST_STEPS = 200  # of training, however few texts there are
 LOOKED_AT = 16  # windows of a text among which an epoch of training looks for the worst
+RATE = 0.03  # of learning word vectors
 MOST_CHARS = 40_000  # longer texts aren't trained on
 _WORD = re.compile(r"\w+")
 
@@ -301,7 +302,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 1) -
             grad = _summed(inverse, dx[1:, :WIDTH], len(rows))
             v = state["words"][1]
             v[rows] += grad * grad  # sparse rows: adaptive steps without momentum
-            net.p["words"][rows] -= 0.1 * grad / (np.sqrt(v[rows]) + 1e-4)
+            net.p["words"][rows] -= RATE * grad / (np.sqrt(v[rows]) + 1e-4)
     held = np.flatnonzero(test) if test.any() and len(set(y[test].tolist())) == 2 else fit
     top = np.array([s.max() for s in scores([wins[k] for k in held])])
     clean = np.sort(top[y[held] == 0])
