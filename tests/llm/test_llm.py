@@ -532,3 +532,31 @@ def test_neighbours_of_repeated_rows(spark, sf_dir):
     near = spark.createDataFrame([(0, [1.0, 0.0])] + [(1, [1.0, 0.01 * k]) for k in range(6)] + [(k, [1.0, 0.1 * k]) for k in range(2, 7)], "vec_id long, embedding array<float>")
     got = nearest_neighbours(near, near.where("vec_id = 0"), 5).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and got[0].score == 1.0
+
+
+def test_main_text_of_hostile_markup(sf_dir):
+    import time
+
+    import pyarrow.parquet as pq
+
+    weights = fit_weights(pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist())
+    assert main_text("<p data-x=don't>four five</p><p>it's six seven</p>", weights) == "four five\nit's six seven"
+    assert main_text("<p title='a>b' class=x'y>four</p><p alt=\"c>d\">five</p>", weights) == "four\nfive"
+    long = "many words " * 10
+    assert main_text(f"<div><b>{long}<div>{long}</b> three</div>", weights) == f"{long.strip()}\n{long}three"
+    for part in ("<b></i>", "<i><div></i>", "<p>a<nav>b</nav>", "<b><div><i></b>", "<a title='"):
+        start = time.perf_counter()
+        main_text(part * 40_000, weights)
+        assert time.perf_counter() - start < 20, part
+
+
+def test_main_text_frame(spark, sf_dir):
+    from tracewell.llm.html_text import extract_main_text
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    odd = spark.createDataFrame([(None, "u", "<p>a b</p>"), (1, None, None), (1, None, ""), (1, None, "")], "page_id long, url string, html string")
+    table = pages.unionByName(odd).selectExpr("*", "1 as text", "'x' as weights")
+    got = extract_main_text(table).collect()
+    assert len(got) == pages.count() + 4 and [r.text for r in got if r.page_id is None] == ["a b"]
+    assert extract_main_text(table.limit(0)).count() == 0
+    assert [r.text for r in extract_main_text(odd.where("page_id = 1")).collect()] == ["", "", ""]

@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from tracewell.llm._shared import unit_hash
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)|[^<]+|<", re.S)
 _RAW = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "title", "xmp", "noembed", "noframes")}
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _DROP = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "head", "object", "audio", "video", "canvas", "map", "datalist"}
@@ -97,28 +97,40 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     open head ends where an element or words begin that can't stand in it.
     """
     stack: list[tuple[str, bool, bool]] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each name in the stack
+    blocks: list[int] = []
     met = False
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            name = stack.pop()[0]
+            places[name].pop()
+            if name in _BLOCK:
+                blocks.pop()
+
     for kind, name, value in tokens(page):
         top = stack[-1] if stack else ("", False, False)
         if top[0] == "head" and (kind == "open" and name not in _IN_HEAD or kind == "text" and not value.isspace()):
-            stack.pop()
+            close(len(stack) - 1)
             top = stack[-1] if stack else ("", False, False)
         if kind == "open":
             if name in _ENDS_P and top[0] == "p" or name == top[0] and name in ("li", "option", "dt", "dd", "td", "th", "tr"):
-                stack.pop()
+                close(len(stack) - 1)
                 top = stack[-1] if stack else ("", False, False)
             own = _boilerplate(name, value, top[1])
-            first = not own and not met and _marked(name, value) and not any(s[0] in _DROP for s in stack)
+            first = not own and not met and _marked(name, value) and not any(places[d] for d in _DROP)
             met = met or first
             inside, bad = top[1] or _marked(name, value), own or top[2] and not first
             yield kind, name, value, inside, bad
             if name not in _VOID and not value.rstrip().endswith("/"):
+                places[name].append(len(stack))
+                if name in _BLOCK:
+                    blocks.append(len(stack))
                 stack.append((name, inside, bad))
         elif kind == "close":
             yield kind, name, value, top[1], top[2]
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None and (name in _BLOCK or not any(s[0] in _BLOCK for s in stack[depth:])):
-                del stack[depth:]
+            if places[name] and (name in _BLOCK or not blocks or blocks[-1] < places[name][-1]):
+                close(places[name][-1])
         else:
             yield kind, name, value, top[1], top[2]
 
@@ -154,7 +166,9 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             if not bad:
                 blocks[-1].append(html_lib.unescape(value))
             elif blocks[-1]:
-                blocks, scores, gaps = [*blocks, []], [*scores, 0.0], [*gaps, 0.0]
+                blocks.append([])
+                scores.append(0.0)
+                gaps.append(0.0)
             continue
         weight = weights.get(name, UNSEEN) * (PASSED if bad else 1)
         if name in _BLOCK and blocks[-1]:
@@ -182,10 +196,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def labelled_sample(pages: DataFrame, most: int) -> list[str]:
-    """About ``most`` pages that mark an article, chosen by a hash of id and url."""
+    """At most ``most`` pages that mark an article, those first by a hash of id and url."""
     marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b|articlebody|\brole\s*=\s*[\"']?\s*main\b"))
     n = marked.count()
-    return [r.html for r in marked.where(unit_hash("page_id", "url") < F.lit(most / max(1, n))).select("html").limit(2 * most).collect()]
+    return [r.html for r in marked.where(unit_hash("page_id", "url") < F.lit(2.0 * most / max(1, n))).orderBy(unit_hash("page_id", "url"), "page_id", "url", "html").limit(most).collect()]
 
 
 def extract_main_text(pages: DataFrame, training_pages: int = 400) -> DataFrame:
