@@ -214,3 +214,26 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.py").write_text("os.system('x' + y)\n")
     assert main(["scan", str(tmp_path)]) == 1 and "PY-CMD-001" in capsys.readouterr().out
     assert main(["scan", str(tmp_path), "--override", "PY-CMD-001=low", "--fail-on", "high"]) == 0
+
+
+def test_deep_files_and_long_chains(spark):
+    from tracewell.operators.pyast import file_findings
+    from tracewell.operators.taint import functions_of, sink_parameters
+
+    deep = "x = " + " + ".join(["a"] * 3000)
+    assert file_findings([deep, "eval(request.args)"])[0][1] == "AST-PY-CODEI-001"
+    lines = [deep, f"cursor.execute({' + '.join(['user_input'] * 3000)})"]
+    assert [f[0] for f in file_findings(lines)] in ([2], [])
+    chain = [line for k in range(12) for line in (f"def f{k}(q):", f"    f{k + 1}(q)")] + ["def f12(q):", "    cursor.execute('x' + q)", "def g(q):", "    h(q)", "def h(q):", "    g(q)"]
+    files = spark.createDataFrame([("a.py", "python", chain), ("deep.py", "python", [deep])], "file_path string, language string, lines array<string>")
+    assert {r.name for r in sink_parameters(functions_of(files)).collect()} == {f"f{k}" for k in range(13)}
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tracewell.operators.cut import shared_folder
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        shared_folder(session)

@@ -37,9 +37,20 @@ EMITTED = {
 
 
 def preorder(node: ast.AST) -> Iterator[ast.AST]:
-    yield node
-    for child in ast.iter_child_nodes(node):
-        yield from preorder(child)
+    """All nodes, each before its children; however deep the tree is."""
+    waiting = [node]
+    while waiting:
+        node = waiting.pop()
+        yield node
+        waiting += reversed(list(ast.iter_child_nodes(node)))
+
+
+def written(node: ast.AST) -> str:
+    """The node as code; its line where it is nested too deeply to be written out."""
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return f"expression of line {getattr(node, 'lineno', 0)}"
 
 
 def taint_of(node: ast.AST, known: dict[str, str | None], depth: int = 0) -> str | None:
@@ -52,17 +63,17 @@ def taint_of(node: ast.AST, known: dict[str, str | None], depth: int = 0) -> str
 
     match node:
         case ast.JoinedStr(values=parts) if not all(isinstance(p, ast.Constant) for p in parts):
-            return ast.unparse(node)
+            return written(node)
         case ast.BinOp(left=left, op=op, right=right):
             mixes = isinstance(op, (ast.Add, ast.Mod)) and not (isinstance(left, ast.Constant) and isinstance(right, ast.Constant))
-            return deeper(left) or deeper(right) or (ast.unparse(node) if mixes else None)
+            return deeper(left) or deeper(right) or (written(node) if mixes else None)
         case ast.Name(id=name) if name in known:
             return known[name]
         case ast.Name(id=name) if name.lower() in INPUT_NAMES or any(p in name.lower() for p in INPUT_PARTS):
             return name
         case ast.Attribute(value=value, attr=attr):
             outside = attr.lower() in INPUT_ATTRIBUTES or isinstance(value, ast.Name) and value.id.lower() in INPUT_NAMES
-            return deeper(value) or (ast.unparse(node) if outside else None)
+            return deeper(value) or (written(node) if outside else None)
         case ast.Subscript(value=value):
             return deeper(value)
         case ast.Call(func=ast.Name(id="input" | "raw_input")):
@@ -71,7 +82,7 @@ def taint_of(node: ast.AST, known: dict[str, str | None], depth: int = 0) -> str
             if getattr(func, "id", getattr(func, "attr", "")) in SANITISERS:
                 return None
             if isinstance(func, ast.Attribute) and deeper(func.value):
-                return ast.unparse(node)
+                return written(node)
             return next((t for t in map(deeper, args) if t), None)
         case ast.IfExp(body=body, orelse=other):
             return deeper(body) or deeper(other)
@@ -112,7 +123,7 @@ def call_findings(call: ast.Call, known: dict[str, str | None]) -> Iterator[tupl
         if taint:
             yield "AST-PY-CODEI-001", "CRITICAL", taint
         elif name in ("eval", "exec"):
-            yield "AST-PY-CODEI-002", "MEDIUM", ast.unparse(call.args[0])
+            yield "AST-PY-CODEI-002", "MEDIUM", written(call.args[0])
     if name in LOAD_CALLS and isinstance(func, ast.Attribute) and isinstance(func.value, ast.Name):
         loader = keyword.get("Loader")
         if func.value.id in LOAD_MODULES:
@@ -143,7 +154,7 @@ def file_findings(lines: list[str]) -> list[tuple]:
         kind, _, confidence, cwe = EMITTED[rule]
         confidence = 0.90 if rule == "AST-PY-CMDI-001" and severity == "CRITICAL" else confidence
         snippet = lines[call.lineno - 1].strip() if call.lineno <= len(lines) else ""
-        found.setdefault((rule, call.lineno), (call.lineno, rule, kind, severity, SEVERITIES[severity], confidence, cwe, source, ast.unparse(call), snippet))
+        found.setdefault((rule, call.lineno), (call.lineno, rule, kind, severity, SEVERITIES[severity], confidence, cwe, source, written(call), snippet))
     return sorted(found.values(), key=lambda f: (-f[4], -f[5]))
 
 
@@ -254,13 +265,13 @@ def traced_calls(tree: ast.Module) -> Iterator[tuple[int, str, int, str, str, st
                 continue
             if targets := targets_of(stmt):
                 read = sorted(names_read(stmt.value) & set(tainted))
-                source = ast.unparse(stmt.value) if is_direct_source(stmt.value) else tainted[read[0]] if read else None
+                source = written(stmt.value) if is_direct_source(stmt.value) else tainted[read[0]] if read else None
                 if source is not None:
                     tainted |= dict.fromkeys(targets, source)
             for call in ast.walk(stmt):
                 if isinstance(call, ast.Call) and called(call):
                     for k, arg in enumerate(call.args):
                         read = sorted(names_read(arg) & set(tainted))
-                        source = tainted[read[0]] if read else ast.unparse(arg) if is_direct_source(arg) else None
+                        source = tainted[read[0]] if read else written(arg) if is_direct_source(arg) else None
                         if source is not None:
-                            yield getattr(stmt, "lineno", 1), called(call), k, source, ast.unparse(arg), ast.unparse(stmt).strip()
+                            yield getattr(stmt, "lineno", 1), called(call), k, source, written(arg), written(stmt).strip()

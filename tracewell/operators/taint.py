@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.cut import cut
+from tracewell.operators.cut import cut, new_table
 from tracewell.operators.pyast import _FUNCS, FINDING_SCHEMA, function_facts, traced_calls
 
-ROUNDS = 100
 _CWE = {"SQL Injection": "CWE-89", "Command Injection": "CWE-78", "Path Traversal": "CWE-22"}
 
 
@@ -56,20 +55,21 @@ def functions_of(files: DataFrame) -> DataFrame:
 def sink_parameters(functions: DataFrame) -> DataFrame:
     """name, param, type: parameters that reach a sink, through any chain of calls.
 
-    Each round joins what the last one found with the calls that pass a parameter on, and ends in a table of the shared folder;
-    cycles end because known facts are dropped.
+    Each round joins what the last one found with the calls that pass a parameter on, and adds what is new to a table of the
+    shared folder; cycles end because known facts are dropped, so the rounds are as many as the longest chain has calls.
     """
     facts = cut(functions.select("name", F.explode("facts").alias("x")).select("name", "x.*"), "facts")
     calls = facts.where("kind = 'call'").select("name", "param", F.col("what").alias("callee"), "arg")
-    known = cut(facts.where("kind = 'sink'").select("name", "param", F.col("what").alias("type")).distinct(), "sinks")
-    frontier = known
-    for _ in range(ROUNDS):
+    table = new_table(functions.sparkSession, "sinks")
+    frontier = facts.where("kind = 'sink'").select("name", "param", F.col("what").alias("type")).distinct()
+    while True:
+        frontier = cut(frontier, "frontier")
+        frontier.write.mode("append").parquet(table)
+        known = functions.sparkSession.read.schema(frontier.schema).parquet(table)
         if not frontier.take(1):
-            break
+            return known
         reached = calls.join(frontier.select(F.col("name").alias("callee"), F.col("param").alias("arg"), "type"), ["callee", "arg"]).select("name", "param", "type").distinct()
-        frontier = cut(reached.join(known, ["name", "param", "type"], "left_anti"), "frontier")
-        known = cut(known.unionByName(frontier), "sinks")
-    return known
+        frontier = reached.join(known, ["name", "param", "type"], "left_anti")
 
 
 def taint_findings(files: DataFrame) -> DataFrame:
