@@ -560,3 +560,46 @@ def test_main_text_frame(spark, sf_dir):
     assert len(got) == pages.count() + 4 and [r.text for r in got if r.page_id is None] == ["a b"]
     assert extract_main_text(table.limit(0)).count() == 0
     assert [r.text for r in extract_main_text(odd.where("page_id = 1")).collect()] == ["", "", ""]
+
+
+def test_best_region_is_the_maximum_sum():
+    import random
+
+    from tracewell.llm.html_text import best_region
+
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randint(1, 9)
+        gaps, scores = [rng.randint(-6, 0) + 0.0 for _ in range(n)], [rng.randint(-4, 6) + 0.0 for _ in range(n)]
+        total = lambda a, b: sum(scores[a:b]) + sum(gaps[a + 1 : b])
+        most = max((total(a, b) for a in range(n) for b in range(a + 1, n + 1)), default=0)
+        a, b = best_region(gaps, scores)
+        assert total(a, b) == max(0, most) if most > 0 else (a, b) == (0, 0)
+
+
+def test_main_text_comes_from_learned_weights(sf_dir, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from tracewell.llm import html_text
+    from tracewell.llm.html_text import ELEMENTS
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist()
+    weights = fit_weights(pages)
+    full = [main_text(p, weights) for p in pages]
+    without = [main_text(p, weights | {ELEMENTS: {}}) for p in pages]
+    monkeypatch.setattr(html_text, "prior", lambda feature: 0.0)
+    assert [main_text(p, weights) for p in pages] == full  # no list of names
+    bare = [main_text(p, weights | {ELEMENTS: {}}) for p in pages]
+    assert all(a != b for a, b in zip(full, bare)) and without != bare
+    monkeypatch.undo()
+    # what labelled pages show outweighs a name, and names that no list has are learned
+    labelled = ["<body><div class=zq17>Win a car now</div><article><h1>T</h1><p class='lead promo'>One two three</p></article></body>"] * 40
+    own = fit_weights(labelled)
+    page = "<body><div class=wrap><p class=promo>Four five six</p><div class=zq17>Win a boat</div><p>seven eight</p></div></body>"
+    assert main_text(page, own) == "Four five six\nseven eight"
+    assert main_text(page, weights) == "Win a boat\nseven eight"
+    # a region is chosen by the scan where no name tells: links of a menu score below zero, an article's own list does not
+    menu = "<ul>" + "<li><a href=/x>Item</a></li>" * 9 + "</ul>"
+    story = "<p>" + "word " * 40 + "</p>"
+    assert main_text(f"<body><div>{menu}</div>{story}", weights) == ("word " * 40).strip()
+    assert main_text(f"<body><article>{story}<ul><li>One</li><li>Two</li></ul></article>", weights).endswith("One\nTwo")
