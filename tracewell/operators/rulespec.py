@@ -157,6 +157,8 @@ class Rule:
     snippets: tuple[tuple[str, bool], ...] = ()  # patterns (and whether to ignore case) that tell the source
     sink_text: str = "match"  # or ``line``, ``port``, ``acl``, or a text of its own
     source_when: tuple[object, str] | None = None  # a condition, and the source where it holds
+    enabled: bool = True
+    references: tuple[str, ...] = ()
     also: str | None = None  # second sink pattern, where the first isn't found; case is ignored
 
     @property

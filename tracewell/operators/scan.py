@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import context_window, is_comment, strip
-from tracewell.operators.catalogue import BY_ID, DKR_002, LAST_USER, OPEN_PORT, PUBLIC_ACL, RULES, USER_INPUT
+from tracewell.operators.catalogue import DKR_002, LAST_USER, OPEN_PORT, PUBLIC_ACL, RULES, USER_INPUT
 from tracewell.operators.rulespec import SEVERITIES, Rule
 
 #: Words that back-tracking doesn't follow, and how far it looks (fixed values).
@@ -166,17 +166,21 @@ def last_user_findings(files: DataFrame) -> DataFrame:
     )
 
 
-def scan(files: DataFrame, rule_ids: Iterable[str] | None = None, first_hit: bool = False) -> DataFrame:
+def scan(files: DataFrame, rule_ids: Iterable[str] | None = None, first_hit: bool = False, catalogue: Iterable[Rule] = RULES) -> DataFrame:
     """Findings of the chosen rules (all by default) over ``files`` (file_path, language, lines).
 
-    ``first_hit`` keeps the first finding of each rule in a file.
+    ``catalogue`` holds the rules to choose from; those that aren't enabled are passed over. ``first_hit`` keeps the first finding
+    of each rule in a file.
     """
-    wanted = set(rule_ids) if rule_ids is not None else {*BY_ID, DKR_002[0]}
-    rules = [r for r in RULES if r.rule_id in wanted]
+    catalogue = list(catalogue)
+    wanted = set(rule_ids) if rule_ids is not None else {DKR_002[0], *(r.rule_id for r in catalogue)}
+    rules = [r for r in catalogue if r.rule_id in wanted and r.enabled]
     out = None
     if rules:
         sites = _once(sink_sites(files, rules), "w", _window(rules))
-        scored = _once(sites, "confidence_score", _choose(rules, evidence)).where(F.col("confidence_score") >= 0.5)  # every rule's threshold
+        least = {r.threshold for r in rules}
+        threshold = F.lit(least.pop()) if len(least) == 1 else _choose(rules, lambda r: F.lit(r.threshold))
+        scored = _once(sites, "confidence_score", _choose(rules, evidence)).where(F.col("confidence_score") >= threshold)
         cwe = lambda r: F.lit(r.cwe) if r.cwe_when is None else F.when(r.cwe_when[0].column(), r.cwe_when[1]).otherwise(r.cwe)
         snippet = lambda r: strip(F.col("line")) if r.sink_text != "match" else F.lit(None).cast("string")
         out = scored.select(

@@ -14,7 +14,7 @@ from tracewell.operators.rulespec import SEVERITIES, quoted
 from tracewell.operators.scan import scan, sink_sites
 from tracewell.operators.taint import functions_of, one_per_line, sink_parameters, taint_findings
 from tracewell.plans.corpus import FILES_SQL, derived_files
-from tracewell.plans.oracle import rule_ctes, strip_sql
+from tracewell.plans.oracle import last_user_sql, rule_ctes, rule_sql, strip_sql
 from tracewell.plans.tables import FINDINGS_SQL, derived_findings
 from tracewell.sources.audits import npm_audit, pattern_report, python_audit
 from tracewell.sources.files import changed_only, language_of
@@ -78,7 +78,10 @@ def secrets_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(files, ["SECRET-001"]).select("file_path", "line_number", "sink")
 
 
-@query()
+SCAN_SQL = "\nUNION ALL ".join(f"SELECT * FROM ({sql})" for sql in [*(rule_sql(r) for r in RULES), last_user_sql()])
+
+
+@query(SCAN_SQL)
 def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(derived_files(spark, sf_dir))
 
@@ -301,7 +304,11 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_findings(spark, sf_dir).select("emit_seq", ops.fingerprint().alias("fingerprint"))
 
 
-@query()
+@query(f"""SELECT rule_id, level, file_path AS uri, line_number AS start_line, fingerprint, CAST(json_object('ruleId', rule_id, 'level', level, 'message', json_object('text', vulnerability_type),
+  'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', file_path, 'uriBaseId', '%SRCROOT%'), 'region', json_object('startLine', line_number)))),
+  'partialFingerprints', json_object('primaryLocationLineHash', fingerprint)) AS VARCHAR) AS result
+FROM (SELECT *, CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'LOW' THEN 'note' WHEN 'INFO' THEN 'note' ELSE 'warning' END AS level,
+  sha256(CASE WHEN coalesce(code_snippet, '') <> '' THEN code_snippet ELSE rule_id || ':' || file_path || ':' || coalesce(CAST(line_number AS VARCHAR), 'None') END) AS fingerprint FROM ({SCAN_SQL}))""")
 def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sarif_results(scan(derived_files(spark, sf_dir)))
 

@@ -96,7 +96,7 @@ def rule_sql(rule: Rule) -> str:
 scored AS (SELECT *, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST(0 AS DOUBLE) + {score})) AS confidence_score FROM windows)
 SELECT file_path, CAST(line_number AS INTEGER) AS line_number, {quoted(rule.rule_id)} AS rule_id, {quoted(rule.kind)} AS vulnerability_type, {quoted(rule.severity)} AS severity,
   CAST({SEVERITIES[rule.severity]} AS INTEGER) AS severity_value, confidence_score, {cwe} AS cwe_id, {_source(rule)} AS source, {_sink(rule)} AS sink, {snippet} AS code_snippet
-FROM scored WHERE confidence_score >= 0.5"""
+FROM scored WHERE confidence_score >= {rule.threshold}"""
 
 
 def last_user_sql() -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.operators.catalogue import BY_ID, DKR_002
 from tracewell.operators.scan import scan
-from tracewell.plans import findings_queries, oracle
+from tracewell.plans import findings_queries, oracle, patch_queries
 from tracewell.plans.corpus import derived_files
 
 
@@ -26,8 +26,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {rule_name(r): _rule_query(r) for r in [*BY_ID, DKR_002[0]]} | findings_queries.QUERIES
+    return {rule_name(r): _rule_query(r) for r in [*BY_ID, DKR_002[0]]} | findings_queries.QUERIES | patch_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {rule_name(k): oracle.rule_sql(r) for k, r in BY_ID.items()} | {rule_name(DKR_002[0]): oracle.last_user_sql()} | findings_queries.ORACLES
+    return {rule_name(k): oracle.rule_sql(r) for k, r in BY_ID.items()} | {rule_name(DKR_002[0]): oracle.last_user_sql()} | findings_queries.ORACLES | patch_queries.ORACLES
