@@ -112,3 +112,58 @@ def test_long_lines_become_rows(spark):
     files = spark.createDataFrame([("a", ["x", "y" * 30]), ("b", ["z"]), ("c", [])], "file_path string, lines array<string>")
     kept, long = readable(files, 20)
     assert sorted(r.file_path for r in kept.collect()) == ["b", "c"] and [tuple(r) for r in long.collect()] == [("a", 2, 30)]
+
+
+def test_settings(tmp_path):
+    from tracewell.sources.settings import DEFAULTS, SettingsError, ignore_lines, load_settings
+
+    assert load_settings(None, {}) == DEFAULTS == load_settings(str(tmp_path / "none.json"), {"OTHER": "x"})
+    env = {"TRACEWELL__SCANNING__MIN_SEVERITY": "HIGH", "TRACEWELL__NOTIFIERS__CHAT": "true"}
+    assert load_settings(None, env)["scanning"]["min_severity"] == "HIGH" and load_settings(None, env)["notifiers"]["chat"] is True
+    file = tmp_path / "s.json"
+    file.write_text('{"scanning": {"min_severity": "MEDIUM"}}')
+    assert load_settings(str(file), env)["scanning"]["min_severity"] == "MEDIUM"
+    for bad in ("{", "[1]", '{"x": {"y": 1}}', '{"scanning": {"max_file_size_kb": 0}}', '{"scanning": {"max_file_size_kb": "9"}}', '{"scanning": {"min_severity": "AWFUL"}}'):
+        file.write_text(bad)
+        with pytest.raises(SettingsError):
+            load_settings(str(file), {})
+    (tmp_path / "ignore").write_text("a/*\n# b\n")
+    assert ignore_lines(str(tmp_path / "ignore")) == ["a/*", "# b"] and ignore_lines(str(tmp_path / "gone")) == []
+
+
+def test_messages(spark):
+    from tests.test_findings import finding, table
+    from tracewell.streaming.notify import chat_message, mail_lines, tickets
+
+    found = table(spark, *[finding(line=k, severity="HIGH" if k < 4 else "LOW", snippet=str(k)) for k in range(1, 8)])
+    blocks = json.loads(chat_message(found, "repo").first().payload)["blocks"]
+    assert [b["type"] for b in blocks] == ["header", "section", "section", "divider", "section"] and "*High:* 3" in str(blocks[2])
+    assert blocks[4]["text"]["text"].split("\n")[1] == "1. *[HIGH]* SQL Injection at `a.py:1`" and blocks[4]["text"]["text"].endswith("5. *[LOW]* SQL Injection at `a.py:5`\n...and 2 more.")
+    assert len(json.loads(chat_message(found.limit(0), "repo").first().payload)["blocks"]) == 3
+    made = [json.loads(r.payload)["fields"] for r in tickets(found, "P").collect()]
+    assert len(made) == 3 and made[0]["project"] == {"key": "P"} and made[0]["summary"] == "[HIGH] Security Finding: SQL Injection in a.py"
+    lines = mail_lines(found).orderBy("rank").collect()
+    assert len(lines) == 7 and lines[6].text.startswith("7. [LOW] SQL Injection at a.py:7\n   Remediation: Review the SQL Injection")
+
+
+def test_merging_takes_files_apart(spark, sf_dir):
+    from itertools import groupby
+
+    from tracewell.operators.findings import first_repositories, merge_file, merged, organisation_totals
+    from tracewell.plans.tables import derived_findings
+
+    found = derived_findings(spark, sf_dir).withColumn("file_path", F.when(F.col("emit_seq") % 3 > 0, "hot.py").otherwise(F.col("file_path"))).withColumn("line_number", (F.col("line_number") * F.lit(37) % 5000).cast("int"))
+    key = lambda r: (r["file_path"], r["vulnerability_type"])
+    rows = sorted((r.asDict() for r in found.collect()), key=key)
+    want = [str(sorted(r.items())) for _, g in groupby(rows, key) for r in merge_file([dict(x) for x in g])]
+    assert sorted(want) == sorted(str(sorted(r.asDict().items())) for r in merged(found).collect())
+    repos = spark.createDataFrame([("o", 2, "scanned"), ("o", 1, "error"), ("o", 3, None)], "organisation string, repository int, status string")
+    assert [tuple(r) for r in organisation_totals(repos).collect()] == [("o", 1, 1)]
+    assert [r.repository for r in first_repositories(repos, 2, "repository").collect()] == [1, 2] and first_repositories(repos, 0).count() == 3
+
+
+def test_decoding_by_language(spark):
+    from tracewell.sources.files import decoded
+
+    raw = spark.createDataFrame([("go", b"a\xe9b"), ("python", b"a\xe9b"), ("go", "é".encode())], "language string, content binary")
+    assert [r[0] for r in raw.select(decoded(F.col("content"), F.col("language"))).collect()] == ["a\ufffdb", "aéb", "é"]

@@ -193,9 +193,27 @@ def merge_file(rows_: list[dict]) -> Iterator[dict]:
 def merged(findings: DataFrame) -> DataFrame:
     """Internal and external findings (``engine``; order by ``emit_seq``) with near ones of a file and type merged, one by one.
 
-    A merge changes confidence and rule id, which later merges see, so each file and type is folded in order.
+    A merge changes confidence and rule id, which later merges see, so neighbours are folded in order. Files are taken apart where
+    no merge can reach across: lines fall into buckets a little wider than the reach, and a run of buckets with findings is a group.
     """
-    return fold_groups(findings, ["file_path", "vulnerability_type"], merge_file, findings.schema)
+    keys = ["file_path", "vulnerability_type"]
+    placed = findings.withColumn("bucket", F.floor(F.col("line_number") / (MERGE_LINES + 1)))
+    runs = placed.select(*keys, "bucket").distinct().withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("bucket")))
+    runs = runs.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("bucket").alias("r_bucket"), (F.col("bucket") - F.col("n")).alias("run"))
+    same = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in (*keys, "bucket")]
+    grouped = placed.join(runs, same, "left").select(*findings.columns, "run")
+    return fold_groups(grouped, [*keys, "run"], merge_file, findings.schema)
+
+
+def organisation_totals(results: DataFrame) -> DataFrame:
+    """Per organisation the repositories scanned and failed, of (organisation, repository, status); a status of null counts as neither."""
+    failed = F.col("status").isin("clone_failed", "error")
+    return results.groupBy("organisation").agg(F.count_if(F.col("status") == "scanned").alias("scanned"), F.count_if(failed).alias("failed"))
+
+
+def first_repositories(repositories: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first ``most`` repositories in their listed order; all of them if that is 0."""
+    return repositories.orderBy(*order).limit(most) if most > 0 else repositories
 
 
 # Ranking

@@ -1,4 +1,4 @@
-"""Registered queries on patches, user's rules and advice."""
+"""Registered queries on patches, user's rules, advice and messages."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import split_lines
 from tracewell.operators.catalogue import RULES
 from tracewell.operators.cut import cut
-from tracewell.operators.findings import still_vulnerable
+from tracewell.operators.findings import organisation_totals, still_vulnerable
 from tracewell.operators.patch import REWRITERS, patched
 from tracewell.operators.registry import Registry, recommendation
 from tracewell.operators.rulespec import Match, Rule, quoted
@@ -16,6 +16,7 @@ from tracewell.operators.scan import scan
 from tracewell.plans.corpus import FILES_SQL, derived_files
 from tracewell.plans.oracle import rule_sql
 from tracewell.plans.tables import FINDINGS_SQL, derived_findings
+from tracewell.streaming.notify import tickets
 
 #: Rules as a user may add them; the second is switched off.
 OWN_RULES = (
@@ -66,12 +67,31 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_findings(spark, sf_dir).groupBy(text.alias("recommendation")).agg(F.count("*").alias("n"))
 
 
+def org_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories scanned and failed, of results derived from orders."""
+    status = F.element_at(F.create_map(*map(F.lit, ("F", "scanned", "O", "clone_failed", "P", "error"))), F.col("o_orderstatus"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return organisation_totals(orders.select(F.col("o_orderpriority").alias("organisation"), F.col("o_orderkey").alias("repository"), status.alias("status")))
+
+
+def ticket_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ticket for each severe finding."""
+    return tickets(derived_findings(spark, sf_dir), "SEC")
+
+
 _RULES_SQL = "rules(rule_id, lang, enabled) AS (VALUES " + ", ".join(f"({quoted(r.rule_id)}, {quoted(x)}, {str(r.enabled).lower()})" for r in (*RULES, *OWN_RULES) for x in r.languages) + ")"
-QUERIES = {q.__name__: q for q in (patch_lines, patch_rescan, own_rules, rules_by_language, recommendations)}
+QUERIES = {q.__name__: q for q in (patch_lines, patch_rescan, own_rules, rules_by_language, recommendations, org_totals, ticket_payloads)}
 ORACLES = {
     "own_rules": rule_sql(OWN_RULES[0]),
     "rules_by_language": f"""WITH {FILES_SQL}, {_RULES_SQL}, n AS (SELECT language, count(*) AS files FROM files GROUP BY language)
 SELECT language, files, count_if(enabled) AS enabled, count_if(NOT enabled) AS disabled FROM n LEFT JOIN rules ON lang = language OR lang = '*' GROUP BY language, files""",
+    "org_totals": """SELECT o_orderpriority AS organisation, count_if(o_orderstatus = 'F') AS scanned, count_if(o_orderstatus IN ('O', 'P')) AS failed FROM orders GROUP BY 1""",
+    "ticket_payloads": f"""WITH {FINDINGS_SQL} SELECT file_path, line_number, rule_id, CAST(json_object('fields', json_object('project', json_object('key', 'SEC'),
+'summary', '[' || severity || '] Security Finding: ' || vulnerability_type || ' in ' || file_path,
+'description', 'A ' || severity || ' vulnerability was found.' || chr(10) || chr(10) || '*Type:* ' || vulnerability_type || chr(10) || '*Rule ID:* ' || rule_id || chr(10) || '*CWE:* ' || coalesce(cwe_id, 'N/A') || chr(10)
+|| '*File:* ' || file_path || chr(10) || '*Line:* ' || coalesce(CAST(line_number AS VARCHAR), 'N/A') || chr(10) || chr(10) || '*Recommendation:*' || chr(10) || 'Review the ' || vulnerability_type
+|| ' vulnerability at the flagged location and apply appropriate sanitisation or safe API usage. Refer to: ' || coalesce(nullif(cwe_id, ''), 'OWASP Top 10') || '.',
+'issuetype', json_object('name', 'Bug'))) AS VARCHAR) AS payload FROM findings WHERE severity_value >= 4""",
     "recommendations": f"""WITH {FINDINGS_SQL} SELECT 'Review the ' || vulnerability_type || ' vulnerability at the flagged location and apply appropriate sanitisation or safe API usage. Refer to: '
 || coalesce(nullif(trim(upper(cwe_id)), ''), 'OWASP Top 10') || '.' AS recommendation, count(*) AS n FROM findings GROUP BY 1""",
 }

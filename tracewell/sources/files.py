@@ -30,9 +30,19 @@ def in_excluded_folder(relative: Column, excluded: tuple[str, ...] = EXCLUDED) -
     return F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*[F.lit(e) for e in excluded]))
 
 
-def decoded(content: Column) -> Column:
-    """UTF-8 where it is valid, without a byte-order mark, else Latin-1; line ends as newlines."""
-    raw = F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+#: Languages that are read as UTF-8 alone (fixed values).
+UTF8_ONLY = ("go", "terraform", "dockerfile")
+
+
+def decoded(content: Column, language: Column | None = None) -> Column:
+    """UTF-8 where it is valid, without a byte-order mark, else Latin-1; line ends as newlines.
+
+    In a ``language`` that is UTF-8 alone, what is not valid becomes replacement characters instead.
+    """
+    other = F.decode(content, "ISO-8859-1")
+    if language is not None:
+        other = F.when(language.isin(*UTF8_ONLY), F.make_valid_utf8(content.cast("string"))).otherwise(other)
+    raw = F.coalesce(F.try_validate_utf8(content.cast("string")), other)
     return F.regexp_replace(F.regexp_replace(raw, "^﻿", ""), "\r\n?", "\n")
 
 
@@ -47,7 +57,7 @@ def read_files(spark: SparkSession, root: str, recursive: bool = True, excluded:
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", ""), rf"^.*?\Q{base}\E/", "")
     files = found.where(F.col("length") <= MOST_BYTES).withColumn("file_path", relative).withColumn("language", language_of(F.col("file_path")))
     files = files.where(F.col("language").isNotNull() & ~in_excluded_folder(F.col("file_path"), excluded))
-    return files.select("file_path", "language", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"), decoded(F.col("content")).alias("code")).select(
+    return files.select("file_path", "language", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"), decoded(F.col("content"), F.col("language")).alias("code")).select(
         "*", line_count(F.col("code")).alias("line_count"), (F.col("code") == "").alias("is_empty"), split_lines(F.col("code")).alias("lines")
     )
 
