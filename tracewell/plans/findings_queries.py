@@ -206,9 +206,9 @@ def risk_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.summary(derived_findings(spark, sf_dir), ["file_path"])
 
 
-@query(f"WITH {FINDINGS_SQL}, v(severity, severity_value) AS (VALUES {', '.join(f'({quoted(s)}, {v})' for s, v in SEVERITIES.items())}) SELECT v.severity, v.severity_value, count(f.emit_seq) AS n FROM v LEFT JOIN findings f ON f.severity = v.severity AND f.engine = 'external' AND f.severity <> 'LOW' GROUP BY 1, 2")
+@query(f"WITH {FINDINGS_SQL}, v(severity, severity_value) AS (VALUES {', '.join(f'({quoted(s)}, {v})' for s, v in SEVERITIES.items())}) SELECT v.severity, v.severity_value, count(f.emit_seq) AS n FROM v LEFT JOIN findings f ON f.severity = v.severity GROUP BY 1, 2")
 def by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.by_severity(derived_findings(spark, sf_dir).where("engine = 'external' and severity <> 'LOW'"))
+    return ops.by_severity(derived_findings(spark, sf_dir))
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT vulnerability_type, count(*) AS n, count(DISTINCT file_path) AS files, round(avg(confidence_score), 6) AS mean_confidence FROM findings GROUP BY 1")
