@@ -237,8 +237,3 @@ def test_no_shared_folder_on_a_cluster():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError):
         shared_folder(session)
-
-
-def test_absent_severities_count_zero(spark):
-    got = {r.severity: r.n for r in ops.by_severity(table(spark, finding(severity="LOW"), finding(severity="LOW"), finding(severity="CRITICAL"))).collect()}
-    assert got == {"INFO": 0, "LOW": 2, "MEDIUM": 0, "HIGH": 0, "CRITICAL": 1}
