@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from tracewell.llm._shared import id_crc, scratch, table
 from tracewell.llm.decontaminate import contaminated
+from tracewell.llm.fingerprints import fingerprint_edits
 from tracewell.llm.html_text import extract_main_text
 from tracewell.llm.language import UNKNOWN, identify_language
 from tracewell.llm.neighbours import nearest_neighbours
 from tracewell.llm.packing import pack_documents
+from tracewell.llm.ranked_search import ranked_search
 from tracewell.llm.simhash import simhash_components
 from tracewell.llm.token_files import read_token_files, write_token_files
 from tracewell.llm.tool_calls import TOOLS, calls_of_conversations, link_tool_calls
 from tracewell.llm.toxicity import score_toxicity
+from tracewell.llm.vector_codes import vector_codes
 from tracewell.llm.warc import read_warc, write_warc
 
 
@@ -72,6 +75,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_neighbours, op3_token_files, op4_tool_calls, op5_decontaminate, op6_warc, op7_main_text, op8_simhash, op9_language, op10_packing, pipeline]
+    own = [op1_toxicity, op2_neighbours, op3_token_files, op4_tool_calls, op5_decontaminate, op6_warc, op7_main_text, op8_simhash, op9_language, op10_packing, op11_vector_codes, op12_fingerprints, op13_ranked_search, pipeline]
     return {f.__name__: f for f in own}
 
 
