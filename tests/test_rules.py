@@ -96,7 +96,7 @@ def test_scores_match_python(spark):
     rule, r = BY_ID["PY-SQLI-001"], random.Random(3)
     bits = ['"SELECT "', " + user_id", "f'{name}'", '"%s" % x', '"{}".format(y)', "execute(q, (a,))", "FROM t WHERE", "UPDATE", "\n", "request", "f'{\"a\"}'", "z", '"a" + "b"']
     rows = [(line := "cursor.execute(q)", "".join(r.choices(bits, k=r.randint(1, 8))) + "\n" + line) for _ in range(400)]
-    got = spark.createDataFrame(rows, "line string, w string").select("line", "w", evidence(rule).alias("s")).collect()
+    got = spark.createDataFrame(rows, "line string, w string").selectExpr("*", "lower(line) AS line_low", "lower(w) AS w_low").select("line", "w", evidence(rule).alias("s")).collect()
     assert all(x.s == python_score(rule, x.line, x.w) for x in got)
     assert len({x.s for x in got}) > 8
 

@@ -73,7 +73,7 @@ def _fault(spark: SparkSession, rule: Rule) -> str | None:
         return "scope is line, w or sink"
     tried = [F.col("line").rlike(rule.regex), *(c.column() for _, c in rule.signals)]
     try:
-        spark.sql("SELECT 'a' AS line, 'a' AS w, 'a' AS sink FROM range(1)").select(*tried).collect()
+        spark.sql("SELECT 'a' AS line, 'a' AS line_low, 'a' AS w, 'a' AS w_low, 'a' AS sink FROM range(1)").select(*tried).collect()
     except PySparkException as e:
         return str(e).splitlines()[0][:300]
     return None

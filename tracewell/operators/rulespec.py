@@ -1,7 +1,7 @@
 """Rules as data: where a rule applies, what its sinks look like, and how evidence around a sink adds up.
 
 A condition compiles to a Spark column over a sink's ``line``, its ``w`` (window) and ``sink`` (matched text), and to DuckDB SQL
-for the oracle.
+for the oracle. The column reads ``line_low`` and ``w_low`` too, the same in lower case.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.operators.factors import guarded_match
+
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -29,7 +31,8 @@ class Match:
         return f"(?i){self.pattern}" if self.ignore_case else self.pattern
 
     def column(self) -> Column:
-        return F.col(self.scope).rlike(self.regex)
+        text = F.col(self.scope)
+        return guarded_match(self.regex, text, F.lower(text) if self.scope == "sink" else F.col(f"{self.scope}_low"))
 
     def sql(self) -> str:
         return f"regexp_matches({self.scope}, {quoted(self.regex)})"

@@ -1,7 +1,11 @@
 """The scan: rules over the lines of files, as one narrow plan.
 
-Lines are exploded once; the sink patterns of all rules that apply to the file's language are tried on each; only for lines with a
-hit is the context window cut out and the evidence summed. There is no shuffle.
+Lines are exploded once. A line's candidates are the rules of the file's language of whose sink pattern a literal factor stands in
+it; only these patterns are tried. Windows are cut out and evidence is summed for hits alone, its patterns behind their factors too.
+There is no shuffle.
+
+Columns that several expressions read are computed in a projection, where Spark compiles them, and pass a generator, so that the
+optimizer doesn't copy their expressions to where they are used.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import context_window, is_comment, strip
 from tracewell.operators.catalogue import DKR_002, LAST_USER, OPEN_PORT, PUBLIC_ACL, RULES, USER_INPUT
+from tracewell.operators.factors import may_be_empty, may_match
 from tracewell.operators.rulespec import SEVERITIES, Rule
 
 #: Words that back-tracking doesn't follow, and how far it looks (fixed values).
@@ -23,21 +28,33 @@ REACH = 150
 ALL_LANGUAGES = "*"
 
 
-def _applies(rule: Rule) -> Column:
-    return F.lit(True) if ALL_LANGUAGES in rule.languages else F.col("language").isin(*rule.languages)
-
-
 def _matched(rule: Rule) -> Column:
     """The text that the sink pattern matches on the line; empty where it isn't found."""
     first = F.regexp_extract("line", rule.regex, 0)
     return first if rule.also is None else F.when(first != "", first).otherwise(F.regexp_extract("line", f"(?i){rule.also}", 0))
 
 
-def _found(rule: Rule) -> Column:
-    found = F.col("line").rlike(rule.regex)
-    if rule.also is not None:
-        found = found | F.col("line").rlike(f"(?i){rule.also}")
-    return found & ~is_comment(F.col("line"), F.col("language")) if rule.skip_comments else found
+def _patterns(rule: Rule) -> list[str]:
+    return [rule.regex] if rule.also is None else [rule.regex, f"(?i){rule.also}"]
+
+
+def _near(rule: Rule) -> Column:
+    """A factor of a sink pattern stands on the line; true for a rule of which one pattern has none."""
+    found = [may_match(p, F.col("line"), F.col("line_low")) for p in _patterns(rule)]
+    return F.lit(True) if any(f is None for f in found) else reduce(lambda a, b: a | b, found)
+
+
+def _candidates(rules: list[Rule]) -> Column:
+    """Numbers of the rules that may find a sink on the line, with commas between; array functions would not be compiled."""
+    of = lambda language: F.concat_ws(",", *[F.when(_near(r), F.lit(str(k))) for k, r in enumerate(rules) if language in r.languages or ALL_LANGUAGES in r.languages])
+    languages = sorted({x for r in rules for x in r.languages} - {ALL_LANGUAGES})
+    everywhere = of(ALL_LANGUAGES) if any(ALL_LANGUAGES in r.languages for r in rules) else F.lit("")
+    if not languages:
+        return everywhere
+    out = F.when(F.col("language") == languages[0], of(languages[0]))
+    for language in languages[1:]:
+        out = out.when(F.col("language") == language, of(language))
+    return out.otherwise(everywhere)
 
 
 def tracked_lines(lines: Column, line_number: Column, variable: Column, before: Column) -> Column:
@@ -75,13 +92,14 @@ def _window(rules: list[Rule]) -> Column:
         return w
     variable = F.lit("")
     for r in following:
-        variable = F.when(F.col("rule_id") == r.rule_id, F.regexp_extract("line", r.backtrack, 1)).otherwise(variable)
+        variable = F.when(F.col("rule") == rules.index(r), F.regexp_extract("line", r.backtrack, 1)).otherwise(variable)
     return F.array_join(F.concat(tracked_lines(F.col("lines"), F.col("line_number"), variable, F.col("before")), F.array(w)), "\n")
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Adds a column as the only element of an exploded array: the optimizer doesn't copy its expression to where it is used."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once, in a projection, and pass a generator as the fields of its only element."""
+    made = df.select("*", F.struct(*[v.alias(k) for k, v in columns.items()]).alias("__once"))
+    return made.select(*df.columns, F.inline(F.array("__once")))
 
 
 def evidence(rule: Rule) -> Column:
@@ -133,18 +151,38 @@ def _choose(rules: list[Rule], of) -> Column:
     """``of(rule)`` of the row's rule."""
     if len(rules) == 1:
         return of(rules[0])
-    out = F.when(F.col("rule_id") == rules[0].rule_id, of(rules[0]))
-    for r in rules[1:]:
-        out = out.when(F.col("rule_id") == r.rule_id, of(r))
+    out = F.when(F.col("rule") == 0, of(rules[0]))
+    for k, r in enumerate(rules[1:], 1):
+        out = out.when(F.col("rule") == k, of(r))
     return out
 
 
+def _fixed(rules: list[Rule], of) -> Column:
+    """``of(rule)``, a plain value, of the row's rule."""
+    return F.get(F.array(*[F.lit(of(r)) for r in rules]), F.col("rule"))
+
+
 def sink_sites(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """One row per line and rule whose sink pattern it matches: file_path, language, lines, line_number, line, rule_id, sink."""
-    lines = files.select("file_path", "language", "lines", F.posexplode("lines").alias("pos", "line"))
-    hits = [F.when(_applies(r) & _found(r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.before).alias("before"), F.lit(r.after).alias("after"), _matched(r).alias("sink"))) for r in rules]
-    sites = lines.withColumn("hit", F.explode(F.array_compact(F.array(*hits))))
-    return sites.select("file_path", "language", "lines", (F.col("pos") + 1).alias("line_number"), "line", "hit.rule_id", "hit.sink", "hit.before", "hit.after")
+    """One row per line and rule whose sink pattern it matches: file_path, language, lines, line_number, line, line_low, rule (its
+    number), rule_id, sink, before, after."""
+    rules = list(rules)
+    both = F.transform("lines", lambda x: F.struct(x.alias("line"), F.lower(x).alias("line_low")))
+    lines = files.select("file_path", "language", "lines", F.posexplode(both).alias("pos", "both")).select("file_path", "language", "lines", "pos", "both.line", "both.line_low")
+    near = _once(lines, near=_candidates(rules)).where("near <> ''")
+    tried = near.withColumn("rule", F.explode(F.split("near", ","))).drop("near").withColumn("rule", F.col("rule").cast("int"))
+    sink = _choose(rules, _matched)
+    sites = _once(tried, sink=sink)
+    loose = [k for k, r in enumerate(rules) if any(may_be_empty(p) for p in _patterns(r))]
+    found = F.col("sink") != ""
+    for k in loose:
+        found = found | (F.col("rule") == k) & reduce(lambda a, b: a | b, [F.col("line").rlike(p) for p in _patterns(rules[k])])
+    skipping = [k for k, r in enumerate(rules) if r.skip_comments]
+    if skipping:
+        found = found & ~(F.col("rule").isin(skipping) & is_comment(F.col("line"), F.col("language")))
+    return sites.where(found).select(
+        "file_path", "language", "lines", (F.col("pos") + 1).alias("line_number"), "line", "line_low", "rule", _fixed(rules, lambda r: r.rule_id).alias("rule_id"), "sink",
+        _fixed(rules, lambda r: r.before).alias("before"), _fixed(rules, lambda r: r.after).alias("after"),
+    )
 
 
 FINDING = ["file_path", "line_number", "rule_id", "vulnerability_type", "severity", "severity_value", "confidence_score", "cwe_id", "source", "sink", "code_snippet"]
@@ -177,16 +215,16 @@ def scan(files: DataFrame, rule_ids: Iterable[str] | None = None, first_hit: boo
     rules = [r for r in catalogue if r.rule_id in wanted and r.enabled]
     out = None
     if rules:
-        sites = _once(sink_sites(files, rules), "w", _window(rules))
-        least = {r.threshold for r in rules}
-        threshold = F.lit(least.pop()) if len(least) == 1 else _choose(rules, lambda r: F.lit(r.threshold))
-        scored = _once(sites, "confidence_score", _choose(rules, evidence)).where(F.col("confidence_score") >= threshold)
+        windows = _once(sink_sites(files, rules), w=_window(rules))
+        sites = _once(windows, w_low=F.lower("w"))
+        scored = _once(sites, confidence_score=_choose(rules, evidence)).where(F.col("confidence_score") >= _fixed(rules, lambda r: r.threshold))
         cwe = lambda r: F.lit(r.cwe) if r.cwe_when is None else F.when(r.cwe_when[0].column(), r.cwe_when[1]).otherwise(r.cwe)
-        snippet = lambda r: strip(F.col("line")) if r.sink_text != "match" else F.lit(None).cast("string")
+        listed = [r.sink_text != "match" for r in rules]
         out = scored.select(
-            "file_path", "line_number", "rule_id", _choose(rules, lambda r: F.lit(r.kind)).alias("vulnerability_type"), _choose(rules, lambda r: F.lit(r.severity)).alias("severity"),
-            _choose(rules, lambda r: F.lit(SEVERITIES[r.severity])).alias("severity_value"), "confidence_score", _choose(rules, cwe).alias("cwe_id"),
-            _choose(rules, _source).alias("source"), _choose(rules, _sink).alias("sink"), _choose(rules, snippet).alias("code_snippet"),
+            "file_path", "line_number", "rule_id", _fixed(rules, lambda r: r.kind).alias("vulnerability_type"), _fixed(rules, lambda r: r.severity).alias("severity"),
+            _fixed(rules, lambda r: SEVERITIES[r.severity]).alias("severity_value"), "confidence_score", _choose(rules, cwe).alias("cwe_id"),
+            _choose(rules, _source).alias("source"), _choose(rules, _sink).alias("sink"),
+            F.when(F.get(F.array(*map(F.lit, listed)), F.col("rule")), strip(F.col("line"))).alias("code_snippet"),
         )
     if DKR_002[0] in wanted:
         own = last_user_findings(files)
