@@ -253,25 +253,38 @@ def function_facts(func: ast.AST) -> Iterator[tuple[str, int, int, str, str, int
                 yield "return", index, None, -1
 
 
-def traced_calls(tree: ast.Module) -> Iterator[tuple[int, str, int, str, str, str]]:
-    """Calls that get outside data: (line, callee, argument, source, argument text, statement text).
+#: A text that holds where every (callee, argument) of its conditions is returned by the callee.
+Source = tuple[tuple[tuple[str, int], ...], str]
 
-    Each module or function body is followed by itself; only its top-level statements taint names, calls count anywhere below.
+
+def traced_calls(tree: ast.Module) -> Iterator[tuple[int, str, int, list[Source], str, str]]:
+    """Calls that get outside data: (line, callee, argument, sources, argument text, statement text).
+
+    Each module or function body is followed by itself; only its top-level statements taint names, calls count anywhere below. A
+    name that gets a call's value has the source of the argument that the callee returns, which other files tell: of ``sources`` the
+    last one counts whose conditions hold; the first has none.
     """
     for scope in (n for n in ast.walk(tree) if isinstance(n, (ast.Module, *_FUNCS))):
-        tainted: dict[str, str] = {}
+        tainted: dict[str, list[Source]] = {}
         for stmt in scope.body:
             if isinstance(stmt, _FUNCS):
                 continue
+            named: list[str] = []
             if targets := targets_of(stmt):
                 read = sorted(names_read(stmt.value) & set(tainted))
-                source = written(stmt.value) if is_direct_source(stmt.value) else tainted[read[0]] if read else None
-                if source is not None:
-                    tainted |= dict.fromkeys(targets, source)
+                found = [((), written(stmt.value))] if is_direct_source(stmt.value) else tainted[read[0]] if read else None
+                if found is not None:
+                    tainted |= dict.fromkeys(targets, found)
+                named = [t.id for t in (stmt.targets if isinstance(stmt, ast.Assign) else [stmt.target]) if isinstance(t, ast.Name)]
             for call in ast.walk(stmt):
                 if isinstance(call, ast.Call) and called(call):
                     for k, arg in enumerate(call.args):
                         read = sorted(names_read(arg) & set(tainted))
-                        source = tainted[read[0]] if read else written(arg) if is_direct_source(arg) else None
-                        if source is not None:
-                            yield getattr(stmt, "lineno", 1), called(call), k, source, written(arg), written(stmt).strip()
+                        found = tainted[read[0]] if read else [((), written(arg))] if is_direct_source(arg) else None
+                        if found is None:
+                            continue
+                        yield getattr(stmt, "lineno", 1), called(call), k, found, written(arg), written(stmt).strip()
+                        for name in named:
+                            if tainted.get(name) != found:
+                                returned = [((*conditions, (called(call), k)), text) for conditions, text in found]
+                                tainted[name] = list(dict.fromkeys([*tainted.get(name, found), *returned]))

@@ -52,33 +52,85 @@ def functions_of(files: DataFrame) -> DataFrame:
     return last.select("name", "f.file_path", "f.params", "f.facts")
 
 
+def return_parameters(functions: DataFrame) -> DataFrame:
+    """name, param: parameters whose value a function returns, through any of its names and calls."""
+    return functions.select("name", F.explode("facts").alias("x")).where("x.kind = 'return'").select("name", "x.param").distinct()
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """Where following ``jumps`` (node, to), one a node, ends, in a number of rounds that grows with the logarithm of the longest path.
+
+    Nodes on or before a cycle, which has no end, are left out.
+    """
+    rounds = jumps.count().bit_length()
+    for _ in range(rounds + 1):
+        after = jumps.select(F.col("node").alias("to"), F.col("to").alias("later"))
+        jumps = cut(jumps.join(after, "to", "left").select("node", F.coalesce("later", "to").alias("to"), F.col("later").isNotNull().alias("moved")), "jumps")
+        moved, jumps = jumps.where("moved").select(F.lit(1)), jumps.drop("moved")
+        if not moved.take(1):
+            return jumps
+    return jumps.join(jumps.select(F.col("node").alias("to")), "to", "left_anti").select("node", "to")
+
+
 def sink_parameters(functions: DataFrame) -> DataFrame:
     """name, param, type: parameters that reach a sink, through any chain of calls.
 
-    Each round joins what the last one found with the calls that pass a parameter on, and adds what is new to a table of the
-    shared folder; cycles end because known facts are dropped, so the rounds are as many as the longest chain has calls.
+    Parameters and the arguments they are passed as form a graph. Calls of what is no sink and passes nothing on are left out. A
+    parameter that then goes to one place alone is a link of a chain; chains are shortened to their ends by doubling, and only the
+    rest of the graph is searched round by round, each round joining what the last one found. A chain of n links takes about log2(n)
+    rounds; cycles end because known facts are dropped.
     """
+    spark = functions.sparkSession
     facts = cut(functions.select("name", F.explode("facts").alias("x")).select("name", "x.*"), "facts")
-    calls = facts.where("kind = 'call'").select("name", "param", F.col("what").alias("callee"), "arg")
-    table = new_table(functions.sparkSession, "sinks")
-    frontier = facts.where("kind = 'sink'").select("name", "param", F.col("what").alias("type")).distinct()
+    node = lambda name, param: F.struct(F.col(name).alias("name"), F.col(param).alias("param"))
+    sinks = cut(facts.where("kind = 'sink'").select(node("name", "param").alias("node"), F.col("what").alias("type")).distinct(), "sinks")
+    calls = facts.where("kind = 'call'").select(node("name", "param").alias("node"), node("what", "arg").alias("to")).distinct()
+    live = calls.select(F.col("node").alias("to")).union(sinks.select(F.col("node").alias("to"))).distinct()
+    edges = cut(calls.join(live, "to", "left_semi").select("node", "to"), "calls")
+    single = edges.groupBy("node").agg(F.count("*").alias("n"), F.first("to").alias("to")).where("n = 1").join(sinks.select("node").distinct(), "node", "left_anti").select("node", "to")
+    ends = _doubled(cut(single, "links"))
+    links = ends.select(F.col("node").alias("to"), F.col("to").alias("end"))
+    rest = edges.join(ends.select("node"), "node", "left_anti")
+    rest = cut(rest.join(links, "to", "left").select("node", F.coalesce("end", "to").alias("to")).distinct(), "branches")
+    table, frontier = new_table(spark, "reached"), sinks
     while True:
         frontier = cut(frontier, "frontier")
         frontier.write.mode("append").parquet(table)
-        known = functions.sparkSession.read.schema(frontier.schema).parquet(table)
+        known = spark.read.schema(frontier.schema).parquet(table)
         if not frontier.take(1):
-            return known
-        reached = calls.join(frontier.select(F.col("name").alias("callee"), F.col("param").alias("arg"), "type"), ["callee", "arg"]).select("name", "param", "type").distinct()
-        frontier = reached.join(known, ["name", "param", "type"], "left_anti")
+            break
+        reached = rest.join(frontier.select(F.col("node").alias("to"), "type"), "to").select("node", "type").distinct()
+        frontier = reached.join(known, ["node", "type"], "left_anti")
+    chained = ends.join(known.select(F.col("node").alias("to"), "type"), "to").select("node", "type")
+    return known.union(chained).select("node.name", "node.param", "type").distinct()
+
+
+def resolved(calls: DataFrame, returns: DataFrame) -> DataFrame:
+    """``calls`` with ``source``: of ``sources`` the last whose conditions are all among ``returns`` (name, param)."""
+    key = [c for c in calls.columns if c != "sources"]
+    numbered = F.transform("sources", lambda s, k: F.struct(k.alias("k"), s["text"].alias("text"), s["conditions"].alias("conditions")))
+    asked = calls.where(F.size("sources") > 1).select(*key, F.explode(numbered).alias("a")).select(*key, "a.k", "a.text", F.explode_outer("a.conditions").alias("c")).select(*key, "k", "text", "c.*")
+    held = asked.join(returns.select(F.col("name").alias("callee_of"), F.col("param").alias("arg_of"), F.lit(True).alias("returned")), ["callee_of", "arg_of"], "left")
+    whole = held.groupBy(*key, "k", "text").agg(F.bool_and(F.col("callee_of").isNull() | F.coalesce("returned", F.lit(False))).alias("holds")).where("holds")
+    last = whole.groupBy(*key).agg(F.max_by("text", "k").alias("source"))
+    return calls.where(F.size("sources") <= 1).select(*key, F.get("sources", F.lit(0))["text"].alias("source")).unionByName(last)
 
 
 def taint_findings(files: DataFrame) -> DataFrame:
     """Findings where outside data is passed to a parameter that reaches a sink; one per file and line, types in order."""
     functions = cut(functions_of(files), "functions")
     sinks = sink_parameters(functions).join(functions.select("name", "params"), "name")
-    names = [("line_number", pa.int32()), ("callee", pa.string()), ("arg", pa.int32()), ("source", pa.string()), ("arg_text", pa.string()), ("code_snippet", pa.string())]
-    calls = _over_files(files, traced_calls, names, "line_number int, callee string, arg int, source string, arg_text string, code_snippet string")
+    source = pa.struct([("conditions", pa.list_(pa.struct([("callee_of", pa.string()), ("arg_of", pa.int32())]))), ("text", pa.string())])
+    names = [("line_number", pa.int32()), ("callee", pa.string()), ("arg", pa.int32()), ("sources", pa.list_(source)), ("arg_text", pa.string()), ("code_snippet", pa.string())]
+
+    def rows_of(tree: ast.Module) -> Iterator[tuple]:
+        for line, callee, arg, found, text, snippet in traced_calls(tree):
+            yield line, callee, arg, [{"conditions": [{"callee_of": c, "arg_of": k} for c, k in conditions], "text": t} for conditions, t in found], text, snippet
+
+    ddl = "line_number int, callee string, arg int, sources array<struct<conditions:array<struct<callee_of:string,arg_of:int>>,text:string>>, arg_text string, code_snippet string"
+    calls = _over_files(files, rows_of, names, ddl)
     hits = calls.join(sinks.select(F.col("name").alias("callee"), F.col("param").alias("arg"), "type", "params"), ["callee", "arg"])
+    hits = resolved(cut(hits.distinct(), "taint-hits"), return_parameters(functions))
     cwe = F.lit("CWE-89")
     for kind, value in _CWE.items():
         cwe = F.when(F.col("type") == kind, value).otherwise(cwe)

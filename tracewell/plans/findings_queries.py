@@ -13,7 +13,7 @@ from tracewell.operators.pyast import ast_findings
 from tracewell.operators.rulespec import SEVERITIES, quoted
 from tracewell.operators.scan import scan, sink_sites
 from tracewell.operators.taint import functions_of, one_per_line, sink_parameters, taint_findings
-from tracewell.plans.corpus import FILES_SQL, derived_files
+from tracewell.plans.corpus import FILES_SQL, derived_files, spread
 from tracewell.plans.oracle import last_user_sql, rule_ctes, rule_sql, strip_sql
 from tracewell.plans.tables import FINDINGS_SQL, derived_findings
 from tracewell.sources.audits import npm_audit, pattern_report, python_audit
@@ -410,6 +410,24 @@ def taint_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_per_line(taint_findings(call_files(spark, sf_dir))).select("file_path", "line_number", "rule_id", "vulnerability_type", "source", "sink")
 
 
+def returning_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules where order k defines pass_k, which gives its argument back through pass_(k+1) or, every third, a constant; and a
+    handler that sends request data through pass_k on to a query."""
+    keys = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")))
+    body = F.when(F.col("k") % 3 == 0, F.lit("    return 1")).otherwise(F.concat(F.lit("    c = pass_"), F.col("k") + 1, F.lit("(b)")))
+    back = F.when(F.col("k") % 3 == 0, F.lit("    pass")).otherwise(F.lit("    return c"))
+    call = F.concat(F.lit("    q = pass_"), F.col("k"), F.lit("(request.args)"))
+    run = F.lit("def run_it(sql):"), F.lit("    db.execute('SELECT ' + sql)")
+    lines = F.array(*run, F.concat(F.lit("def pass_"), F.col("k"), F.lit("(b):")), body, back, F.lit("def handle():"), call, F.lit("    r = q"), F.lit("    run_it(r)"))
+    return keys.select(F.concat(F.lit("app/m"), F.col("k"), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), lines.alias("lines"))
+
+
+@query("""SELECT 'app/m' || o_orderkey || '.py' AS file_path, 9::INTEGER AS line_number, 'SQL Injection' AS vulnerability_type,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'pass_' || o_orderkey || '(request.args)' ELSE 'request.args' END AS source, 'Call to run_it() passing tainted arg ''r'' to sink param ''sql''' AS sink FROM orders""")
+def taint_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_per_line(taint_findings(returning_files(spark, sf_dir))).select("file_path", "line_number", "vulnerability_type", "source", "sink")
+
+
 # Watching
 
 
