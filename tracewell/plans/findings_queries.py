@@ -19,7 +19,8 @@ from tracewell.plans.tables import FINDINGS_SQL, derived_findings
 from tracewell.sources.audits import npm_audit, pattern_report, python_audit
 from tracewell.sources.files import changed_only, language_of
 from tracewell.sources.reports import json_rows, sarif_results, sarif_rules
-from tracewell.streaming.watch import latest_buffers, scan_jobs, snapshot_changes
+from tracewell.streaming.jobs import answers, job_registry, queued_jobs
+from tracewell.streaming.watch import hmac_sha256, latest_buffers, scan_jobs, snapshot_changes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -458,6 +459,52 @@ def webhook_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_jobs(events).select("event_id", F.size("changed").alias("n_changed"))
 
 
+SECRET = b"a shared secret"
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webhook deliveries from events: clicks are pushes, views pull requests, others pings; every tenth has a wrong signature, every
+    thirteenth a body that is cut off, and every fourth comes twice."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    names = F.when(F.col("event_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("f"), F.col("user_id"), F.lit(".py"))))
+    head = F.struct(F.concat(F.lit("b"), F.col("user_id")).alias("ref"), F.sha1(F.col("event_id").cast("string").cast("binary")).alias("sha"))
+    action = F.get(F.array(*[F.lit(x) for x in ("opened", "synchronize", "reopened", "closed")]), (F.col("event_id") % 4).cast("int"))
+    ref = F.when(F.col("user_id") % 5 == 0, "refs/heads/fix/x").otherwise("refs/heads/main")
+    body = F.to_json(F.struct(action.alias("action"), ref.alias("ref"), F.sha1(F.col("event_id").cast("string").cast("binary")).alias("after"), F.array(F.struct(names.alias("added"), names.alias("modified"))).alias("commits"),
+                              F.struct(F.concat(F.lit("o/r"), F.col("user_id") % 50).alias("full_name")).alias("repository"), F.struct(F.col("event_id").alias("number"), head.alias("head")).alias("pull_request")))
+    body = F.when(F.col("event_id") % 13 == 0, F.left(body, F.lit(20))).otherwise(body)
+    signature = F.concat(F.lit("sha256="), hmac_sha256(SECRET, F.when(F.col("delivery_id") % 10 == 0, F.lit("x")).otherwise(F.col("body")).cast("binary")))
+    kind = F.when(F.col("event_type") == "click", "push").when(F.col("event_type") == "view", "pull_request").otherwise("ping")
+    rows = e.select(F.col("event_id").alias("delivery_id"), kind.alias("event"), body.alias("body"), F.col("ts").cast("timestamp").alias("received_at")).withColumn("signature", signature)
+    return rows.unionByName(rows.where("delivery_id % 4 = 0"))
+
+
+DELIVERIES_SQL = """d AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'click' THEN 'push' WHEN 'view' THEN 'pull_request' ELSE 'ping' END AS kind,
+  event_id % 10 <> 0 AS signed, event_id % 13 <> 0 AS whole, user_id % 5 = 0 AS fix, event_id % 3 <> 0 AS changes, event_id % 4 < 3 AS acts FROM events),
+j AS (SELECT *, signed AND whole AND ((kind = 'push' AND changes AND NOT fix) OR (kind = 'pull_request' AND acts)) AS job FROM d)"""
+
+
+@query(f"""WITH {DELIVERIES_SQL} SELECT event_id AS job_id, 'o/r' || user_id % 50 AS repo_name, CASE WHEN kind = 'push' THEN 'main' ELSE 'b' || user_id END AS branch, sha1(CAST(event_id AS VARCHAR)) AS commit_sha,
+  CASE WHEN kind = 'push' THEN 'f' || user_id || '.py' ELSE '' END AS changed, event_id AS pr_number FROM j WHERE job""")
+def signed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queued_jobs(deliveries(spark, sf_dir), SECRET).select("job_id", "repo_name", "branch", "commit_sha", F.array_join("changed", ",").alias("changed"), "pr_number")
+
+
+@query(f"""WITH {DELIVERIES_SQL}, a AS (SELECT CAST(CASE WHEN NOT signed THEN 401 WHEN NOT whole THEN 400 WHEN job THEN 202 ELSE 200 END AS INTEGER) AS answer, CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END AS times FROM j)
+SELECT answer, CAST(sum(times) AS BIGINT) AS n FROM a GROUP BY answer""")
+def webhook_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers(deliveries(spark, sf_dir), SECRET).groupBy("answer").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT 'u' || user_id AS job_id, ts AS t, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS status FROM events WHERE value < 60),
+f AS (SELECT job_id, min(t) FILTER (status = 'queued') AS queued_at, min(t) FILTER (status = 'running') AS started_at, min(t) FILTER (status IN ('done', 'failed')) AS completed_at FROM e WHERE status IS NOT NULL GROUP BY job_id)
+SELECT job_id, coalesce((SELECT min(e.status) FROM e WHERE e.job_id = f.job_id AND e.t = f.completed_at AND e.status IN ('done', 'failed')), CASE WHEN started_at IS NOT NULL THEN 'running' ELSE 'queued' END) AS status, queued_at, started_at, completed_at FROM f""")
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("value < 60")
+    status = F.when(F.col("event_type").isin("signup", "view"), "queued").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
+    return job_registry(e.select(F.concat(F.lit("u"), F.col("user_id")).alias("job_id"), F.col("ts").alias("at"), status.alias("status")))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))

@@ -46,6 +46,12 @@ def decoded(content: Column, language: Column | None = None) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, "^﻿", ""), "\r\n?", "\n")
 
 
+def relative_to(root: str, path: Column) -> Column:
+    """A file's path below ``root``."""
+    base = root.rstrip("/").split("://")[-1].split(":")[-1]
+    return F.regexp_replace(F.regexp_replace(path, r"^[a-z0-9]+:/*(?=/)", ""), rf"^.*?\Q{base}\E/", "")
+
+
 def read_files(spark: SparkSession, root: str, recursive: bool = True, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """file_path (relative), language, size_bytes, last_modified, code, line_count, is_empty, lines of all supported files below.
 
@@ -53,9 +59,7 @@ def read_files(spark: SparkSession, root: str, recursive: bool = True, excluded:
     over files of no bytes, which hold no findings.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    base = root.rstrip("/").split("://")[-1].split(":")[-1]
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", ""), rf"^.*?\Q{base}\E/", "")
-    files = found.where(F.col("length") <= MOST_BYTES).withColumn("file_path", relative).withColumn("language", language_of(F.col("file_path")))
+    files = found.where(F.col("length") <= MOST_BYTES).withColumn("file_path", relative_to(root, F.col("path"))).withColumn("language", language_of(F.col("file_path")))
     files = files.where(F.col("language").isNotNull() & ~in_excluded_folder(F.col("file_path"), excluded))
     return files.select("file_path", "language", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"), decoded(F.col("content"), F.col("language")).alias("code")).select(
         "*", line_count(F.col("code")).alias("line_count"), (F.col("code") == "").alias("is_empty"), split_lines(F.col("code")).alias("lines")

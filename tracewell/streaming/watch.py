@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tracewell.functions.text import split_lines
 from tracewell.operators.scan import scan
-from tracewell.sources.files import decoded, language_of
+from tracewell.sources.files import EXCLUDED, MOST_BYTES, decoded, in_excluded_folder, language_of, relative_to
 
 
 def snapshot_changes(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -25,12 +23,13 @@ def snapshot_changes(before: DataFrame, now: DataFrame) -> DataFrame:
     return both.select("file_path", change.alias("change")).where("change is not null")
 
 
-def file_stream(spark: SparkSession, root: str, most_files: int = 1000) -> DataFrame:
-    """A stream of new files below ``root``: file_path, language, lines."""
+def file_stream(spark: SparkSession, root: str, most_files: int = 1000, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """A stream of new files below ``root``: file_path, language, lines; sizes, folders and encodings as ``read_files`` has them."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", most_files).load(root)
-    files = raw.select(F.col("path").alias("file_path"), language_of(F.col("path")).alias("language"), decoded(F.col("content")).alias("code"))
-    return files.where("language is not null").select("file_path", "language", split_lines(F.col("code")).alias("lines"))
+    files = raw.withColumn("file_path", relative_to(root, F.col("path"))).withColumn("language", language_of(F.col("path")))
+    files = files.where((F.col("length") <= MOST_BYTES) & F.col("language").isNotNull() & ~in_excluded_folder(F.col("file_path"), excluded))
+    return files.select("file_path", "language", split_lines(decoded(F.col("content"), F.col("language"))).alias("lines"))
 
 
 def watch(files: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "2 seconds") -> DataStreamWriter:
@@ -48,16 +47,32 @@ def finding_trend(findings: DataFrame, window: str = "1 hour", late: str = "10 m
     return findings.withWatermark("detected_at", late).groupBy(F.window("detected_at", window), "severity").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "severity", "n")
 
 
+def hmac_sha256(secret: bytes, message: Column) -> Column:
+    """The HMAC-SHA256 of a binary column as lower-case hex."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    pad = lambda byte: F.lit(bytes(k ^ byte for k in key))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), message), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
 def signature_valid(secret: bytes) -> Callable[[Column, Column], Column]:
-    """A predicate on (body, ``sha256=...`` header): whether the signature is the body's."""
+    """A predicate on (body, ``sha256=...`` header): whether the signature is the body's. A null body counts as empty."""
+    own = lambda body: F.concat(F.lit("sha256="), hmac_sha256(secret, F.coalesce(body.cast("string"), F.lit("")).cast("binary")))
+    return lambda body, header: F.coalesce(own(body) == header, F.lit(False))
+
 
-    @F.pandas_udf("boolean")
-    def valid(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for body, header in batches:
-            made = [("sha256=" + hmac.new(secret, (b or "").encode(), hashlib.sha256).hexdigest()) for b in body]
-            yield pd.Series([h is not None and hmac.compare_digest(m, h) for m, h in zip(made, header, strict=True)])
+def changed_files(commits: Column) -> Column:
+    """Files that commits (array of struct<added, modified>) add or modify, each once; none for null."""
+    none = F.array().cast("array<string>")
+    lists = F.transform(commits, lambda c: F.concat(F.coalesce(c["added"], none), F.coalesce(c["modified"], none)))
+    return F.coalesce(F.array_distinct(F.flatten(lists)), none)
 
-    return valid
+
+def makes_job(changed: Column, fix_prefix: str = "fix/") -> Column:
+    """Whether an event (kind, action, branch) with these changed files asks for a scan."""
+    push = (F.col("kind") == "push") & (F.size(changed) > 0) & ~F.coalesce(F.col("branch").startswith(fix_prefix), F.lit(False))
+    pull = (F.col("kind") == "pull_request") & F.col("action").isin("opened", "synchronize", "reopened")
+    return F.coalesce(push, F.lit(False)) | F.coalesce(pull, F.lit(False))
 
 
 def scan_jobs(events: DataFrame, fix_prefix: str = "fix/") -> DataFrame:
@@ -65,8 +80,5 @@ def scan_jobs(events: DataFrame, fix_prefix: str = "fix/") -> DataFrame:
 
     Pushes without added or modified files, or of a branch that begins with ``fix_prefix``, and pull-request actions that change no code make no job.
     """
-    changed = F.array_distinct(F.flatten(F.transform("commits", lambda c: F.concat(c["added"], c["modified"]))))
-    jobs = events.withColumn("changed", F.coalesce(changed, F.array().cast("array<string>")))
-    push = (F.col("kind") == "push") & (F.size("changed") > 0) & ~F.col("branch").startswith(fix_prefix)
-    pull = (F.col("kind") == "pull_request") & F.col("action").isin("opened", "synchronize", "reopened")
-    return jobs.where(push | pull)
+    jobs = events.withColumn("changed", changed_files(F.col("commits")))
+    return jobs.where(makes_job(F.col("changed"), fix_prefix))
