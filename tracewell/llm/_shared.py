@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,3 +50,18 @@ def sized(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
                 held = []
     if held:
         yield pa.concat_batches(held)
+
+
+def release() -> None:
+    """Give back what earlier tasks of other operators keep in this Python worker: tables of token pieces, and memory that is free.
+
+    Workers serve one stage after the other, and an executor's memory is that of all its workers.
+    """
+    if (tokens := sys.modules.get("tracewell.llm._tokens")) is not None:
+        tokens.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm._shared import release
+
 #: Characters of items that one broadcast holds; more items are matched in blocks.
 BLOCK_CHARS = 4_000_000
 
@@ -120,6 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, bloc
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             matcher = ItemMatcher(shared.value, rate)
             for batch in batches:
                 rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for hit in matcher.match(text)]

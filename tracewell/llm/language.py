@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from tracewell.llm._shared import unit_hash
+from tracewell.llm._shared import release, unit_hash
 
 BINS = 1 << 12
 UNKNOWN = "und"
@@ -138,6 +138,7 @@ def identify_language(docs: DataFrame, training: DataFrame, sample_per_language:
     model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_texts(training, sample_per_language), per_language))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [model.value.predict(t) for t in batch.column(1).to_pylist()]
             columns = list(zip(*found, strict=True)) or [()] * 3

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import materialise
+from tracewell.llm._shared import materialise, release
 from tracewell.llm.components import connected_components
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -352,6 +352,7 @@ def _bag_nodes(texts: DataFrame, width: int) -> DataFrame:
     names = ["doc_id", "node", "size", *_FP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bags = Bags(width)
         for batch in batches:
             for some in _slices(batch):
@@ -369,6 +370,7 @@ def _prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarra
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         common, bags, seen = shared.value, Bags(width), set()
         for batch in (some for batch in batches for some in _slices(batch)):
             out: list[list] = [[], [], []]

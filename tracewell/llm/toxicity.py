@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tracewell.llm._shared import unit_hash
+from tracewell.llm._shared import release, unit_hash
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 12, 12  # units a direction; dimensions of a word's vector
@@ -361,6 +361,7 @@ def fitted(sample: DataFrame, epochs: int) -> GatedNetwork:
     """The network trained on ``sample`` (doc_id, text, toxic), whose size is bounded, in one task; the driver gets its weights."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0]), 3), r[1], r[2]))
         net = train([t for _, t, _ in rows], [y for *_, y in rows], epochs)
@@ -383,6 +384,7 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, samp
     shared = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(training, labels, sample_of_each), epochs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
