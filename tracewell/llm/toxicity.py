@@ -348,6 +348,7 @@ class Scorer:
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_of_each: int) -> DataFrame:
     """At most ``most_of_each`` texts of each label and of ``MOST_CHARS`` characters or fewer, those first by a hash of the id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").distinct()
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")  # other documents' labels aren't looked at
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows at most
     share = F.when(F.col("toxic") == 1, F.lit(3.0 * most_of_each / counts.get(1, 1))).otherwise(F.lit(3.0 * most_of_each / counts.get(0, 1)))
     some = known.where(unit_hash("doc_id") < share)  # enough, though some are too long or not in docs
