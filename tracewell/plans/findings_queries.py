@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import context_window, line_count, split_lines, strip
+from tracewell.operators.cut import cut
 from tracewell.operators import findings as ops
 from tracewell.operators.catalogue import BY_ID, RULES, SECRET
 from tracewell.operators.compliance import FRAMEWORKS, rows
@@ -19,6 +20,7 @@ from tracewell.plans.tables import FINDINGS_SQL, derived_findings
 from tracewell.sources.audits import npm_audit, pattern_report, python_audit
 from tracewell.sources.files import changed_only, language_of
 from tracewell.sources.reports import json_rows, sarif_results, sarif_rules
+from tracewell.sources.sarif import code_flow, run_document, with_flows
 from tracewell.streaming.jobs import answers, job_registry, queued_jobs
 from tracewell.streaming.watch import hmac_sha256, latest_buffers, scan_jobs, snapshot_changes
 
@@ -314,6 +316,32 @@ def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sarif_results(scan(derived_files(spark, sf_dir)))
 
 
+FLOWS_SQL = f"""SELECT f.*, CAST(CASE WHEN coalesce(f.source, '') = '' THEN f.line_number ELSE coalesce(list_max(list_filter(range(greatest(1, f.line_number - 11), least(len(files.lines), f.line_number - 1) + 1), lambda i: contains(files.lines[i], f.source))), greatest(1, f.line_number - 1)) END AS INTEGER) AS source_line
+FROM ({SCAN_SQL}) f JOIN (WITH {FILES_SQL} SELECT file_path, lines FROM files) files USING (file_path)"""
+
+
+def _step_sql(line: str, column: str, text: str, otherwise: str) -> str:
+    said = f"CASE WHEN coalesce({column}, '') = '' THEN '{otherwise}' ELSE '{text} ''' || {column} || '''' END"
+    return f"""json_object('location', json_object('physicalLocation', json_object('artifactLocation', json_object('uri', file_path, 'uriBaseId', '%SRCROOT%'), 'region', json_object('startLine', {line})), 'message', json_object('text', {said})), 'importance', 'essential')"""
+
+
+@query(f"""SELECT file_path, line_number, rule_id, source_line, CAST(json_object('codeFlows', json_array(json_object('threadFlows', json_array(json_object('locations', json_array(
+{_step_sql('source_line', 'source', 'Taint source: variable/input', 'Taint source: dynamic user input')},
+{_step_sql('line_number', 'sink', 'Taint sink: execution flow reaches', 'Taint sink: vulnerability execution site')})))))) AS VARCHAR) AS flow FROM ({FLOWS_SQL})""")
+def sarif_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = derived_files(spark, sf_dir)
+    flows = with_flows(cut(scan(files), "scanned"), files)
+    return flows.select("file_path", "line_number", "rule_id", "source_line", F.to_json(F.struct(code_flow(F.col("source_line")).alias("codeFlows"))).alias("flow"))
+
+
+@query(f"""WITH f AS ({SCAN_SQL}), n AS (SELECT count(*) AS results, count(DISTINCT rule_id) AS rules FROM f), s(section) AS (VALUES (0), (1), (2), (3), (4))
+SELECT CAST(section AS INTEGER) AS section, CASE section WHEN 1 THEN rules WHEN 3 THEN results ELSE 1 END AS lines, CASE section WHEN 1 THEN rules - 1 WHEN 3 THEN results - 1 ELSE 0 END AS commas FROM n, s""")
+def sarif_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = derived_files(spark, sf_dir)
+    document = run_document(cut(scan(files), "scanned"), files)
+    return document.groupBy("section").agg(F.count("*").alias("lines"), F.count_if(F.col("text").startswith(",")).alias("commas"))
+
+
 @query()
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(derived_findings(spark, sf_dir))
