@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import context_window, line_count, split_lines, strip
-from tracewell.operators.cut import cut
 from tracewell.operators import findings as ops
 from tracewell.operators.catalogue import BY_ID, RULES, SECRET
 from tracewell.operators.compliance import FRAMEWORKS, rows
+from tracewell.operators.cut import cut
+from tracewell.operators.entry import scan_files
+from tracewell.operators.ignores import without_patterns
 from tracewell.operators.pyast import ast_findings
-from tracewell.operators.rulespec import SEVERITIES, quoted
+from tracewell.operators.rulespec import SEVERITIES, Rule, quoted
 from tracewell.operators.scan import scan, sink_sites
 from tracewell.operators.taint import functions_of, one_per_line, sink_parameters, taint_findings
 from tracewell.plans.corpus import FILES_SQL, derived_files, spread
@@ -21,6 +23,7 @@ from tracewell.sources.audits import npm_audit, pattern_report, python_audit
 from tracewell.sources.files import changed_only, language_of
 from tracewell.sources.reports import json_rows, sarif_results, sarif_rules
 from tracewell.sources.sarif import code_flow, run_document, with_flows
+from tracewell.sources.settings import DEFAULTS
 from tracewell.streaming.jobs import answers, job_registry, queued_jobs
 from tracewell.streaming.watch import hmac_sha256, latest_buffers, scan_jobs, snapshot_changes
 
@@ -127,6 +130,24 @@ def suppress_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.without_ignored(derived_findings(spark, sf_dir), ["# note", "src/f1*.py:py-cmd-001", "f?3.py", ""])
 
 
+@query(f"""WITH {FINDINGS_SQL}, g AS (SELECT 'f' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '?.py' ELSE '*.py' END AS pattern, CASE WHEN o_orderkey % 3 = 0 THEN 'PY-CMD-001' ELSE '*' END AS rule FROM orders WHERE o_orderkey % 29 = 0),
+p AS (SELECT DISTINCT file_path FROM findings), i AS (SELECT DISTINCT file_path, rule FROM p, g WHERE file_path GLOB ('*/' || pattern) OR file_path GLOB pattern)
+SELECT {COLUMNS} FROM findings f WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.file_path = f.file_path AND i.rule IN ('*', f.rule_id))""")
+def suppress_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(key % 29 == 0)
+    line = F.concat(F.lit("./f"), key, F.when(key % 2 == 0, "?.py").otherwise("*.py"), F.when(key % 3 == 0, " : py-cmd-001").otherwise(""))
+    return without_patterns(derived_findings(spark, sf_dir), orders.select(line.alias("line")))
+
+
+@query(f"""WITH {FILES_SQL}, n AS (SELECT count(*) AS files, CAST(sum(len(lines)) AS BIGINT) AS lines FROM files), f AS (SELECT count(*) AS findings, count_if(severity_value >= 4) AS severe FROM ({SCAN_SQL}))
+SELECT files, lines, {len(RULES)}::INTEGER AS rules_run, 1::INTEGER AS rules_failed, findings, severe FROM n, f""")
+def scan_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = Rule("ORG-BROKEN-001", ("*",), "(", "Unknown", "LOW", "", "")
+    settings = DEFAULTS | {"scanning": DEFAULTS["scanning"] | {"min_severity": "INFO"}}
+    return scan_files(derived_files(spark, sf_dir), settings, rules=[*RULES, broken]).statistics.drop("seconds")
+
+
 @query(f"""WITH {FINDINGS_SQL}, marks AS (SELECT 'src/f' || o_orderkey || '.py' AS p, CAST(o_custkey % 60 + 1 AS INTEGER) AS n, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'py-sqli-001' END AS r FROM orders)
 SELECT {COLUMNS} FROM findings f WHERE NOT EXISTS (SELECT 1 FROM marks WHERE p = f.file_path AND n IN (f.line_number, f.line_number - 1) AND (r = '' OR upper(r) = upper(f.rule_id)))""")
 def suppress_comment(spark: SparkSession, sf_dir: str) -> DataFrame:

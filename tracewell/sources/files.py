@@ -52,15 +52,17 @@ def relative_to(root: str, path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^[a-z0-9]+:/*(?=/)", ""), rf"^.*?\Q{base}\E/", "")
 
 
-def read_files(spark: SparkSession, root: str, recursive: bool = True, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+def read_files(spark: SparkSession, root: str, recursive: bool = True, excluded: tuple[str, ...] = EXCLUDED, most_bytes: int = MOST_BYTES, without: tuple[str, ...] = ()) -> DataFrame:
     """file_path (relative), language, size_bytes, last_modified, code, line_count, is_empty, lines of all supported files below.
 
-    Files over 10 MB are left out before they are read, as are excluded folders and unknown extensions. Spark's reader passes
+    Files over ``most_bytes`` are left out before they are read, as are excluded folders, extensions in ``without`` and unknown ones. Spark's reader passes
     over files of no bytes, which hold no findings.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    files = found.where(F.col("length") <= MOST_BYTES).withColumn("file_path", relative_to(root, F.col("path"))).withColumn("language", language_of(F.col("file_path")))
+    files = found.where(F.col("length") <= most_bytes).withColumn("file_path", relative_to(root, F.col("path"))).withColumn("language", language_of(F.col("file_path")))
     files = files.where(F.col("language").isNotNull() & ~in_excluded_folder(F.col("file_path"), excluded))
+    for extension in without:
+        files = files.where(~F.lower("file_path").endswith(F.lit("." + extension.lower().lstrip("."))))
     return files.select("file_path", "language", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"), decoded(F.col("content"), F.col("language")).alias("code")).select(
         "*", line_count(F.col("code")).alias("line_count"), (F.col("code") == "").alias("is_empty"), split_lines(F.col("code")).alias("lines")
     )
