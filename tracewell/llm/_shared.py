@@ -65,3 +65,18 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass  # another C library
+
+
+#: Rows of an Arrow batch of whole texts, of which some are very long; Spark's own default is ten times that.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have the session hand texts to Python in batches of ``BATCH_ROWS`` rows at most; a smaller setting stays.
+
+    A batch is held by the JVM and by Python at once, for each task of an executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

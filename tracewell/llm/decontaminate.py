@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import release
+from tracewell.llm._shared import bound_batches, release
 
 #: Characters of items that one broadcast holds; more items are matched in blocks.
 BLOCK_CHARS = 4_000_000
@@ -117,6 +117,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, bloc
     gives no rows; extra columns are ignored.
     """
     spark, out = docs.sparkSession, None
+    bound_batches(spark)
     schema = "doc_id long, item_id long, distance int, end long"
     for block in item_blocks(benchmark, block_chars):
         shared = spark.sparkContext.broadcast(block)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from tracewell.llm._shared import release, unit_hash
+from tracewell.llm._shared import bound_batches, release, unit_hash
 
 BINS = 1 << 12
 UNKNOWN = "und"
@@ -135,6 +135,7 @@ def identify_language(docs: DataFrame, training: DataFrame, sample_per_language:
     give ``und``, score 0, rejected. Ties between centroids go to the first language. Repeated rows and null ids are kept; an
     empty table gives no rows; without any labelled text all are ``und``. Extra columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fitted(labelled_texts(training, sample_per_language), per_language))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm._shared import bound_batches
 from tracewell.llm._tokens import encoder, in_chunks
 
 #: Pieces that one Arrow batch holds.
@@ -36,6 +37,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longes
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    bound_batches(docs.sparkSession)
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     sizes = 1 << np.arange(longest.bit_length() - 2, -1, -1)  # of the pieces that are not the longest
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._shared import materialise, release
+from tracewell.llm._shared import bound_batches, materialise, release
 from tracewell.llm.components import connected_components
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -575,6 +575,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     Equal bags are one class from the start. Nulls, repeats and empty tables: as in ``simhash_components``, but a text without
     words is like no other and stands alone.
     """
+    bound_batches(docs.sparkSession)
     everything = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(_bag_nodes(everything, width), "bags")
     texts = everything.where("doc_id is not null")

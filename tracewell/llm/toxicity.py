@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tracewell.llm._shared import release, unit_hash
+from tracewell.llm._shared import bound_batches, release, unit_hash
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 12, 12  # units a direction; dimensions of a word's vector
@@ -382,6 +382,7 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, samp
     """
     if {"doc_id", "score"} & set(carry):
         raise ValueError("doc_id and score are made here and can't be carried along")
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(training, labels, sample_of_each), epochs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
