@@ -36,7 +36,12 @@ def unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Cosine of ``q`` with each row of ``v``, in double precision, from the original components."""
+    """Cosine of ``q`` with each row of ``v``, in double precision, from the original components.
+
+    Both are scaled by powers of two first, which changes no digit but keeps squares of tiny and huge components in range.
+    """
+    q = np.ldexp(q, -np.frexp(np.abs(q).max(initial=0))[1])
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0))[1][:, None])
     return (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum()))
 
 
@@ -99,12 +104,12 @@ def nearest_neighbours(embeddings: DataFrame, queries: DataFrame, k: int = 5, bl
 
     The score is the cosine in double precision; ties go to the smaller id; a query's own id is no candidate; all candidates
     are returned if there are fewer than ``k``. Vectors that are null, empty, zero, of another length than the query, or hold
-    a null or non-finite component take no part, nor do rows without id. Of rows with equal ids the best is returned once. An
-    empty table on either side gives no rows; extra columns are ignored.
+    a null or non-finite component take no part, nor do rows without id. Of rows with equal ids the best is returned once; of
+    queries with equal ids the one of the least components is asked. An empty table on either side gives no rows; extra columns are ignored.
     """
     spark = embeddings.sparkSession
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)")
-    rows, asked = clean(embeddings), clean(queries).dropDuplicates(["vec_id"])
+    rows, asked = clean(embeddings), clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n = max(1, -(-rows.count() // shard))
     shards = rows.repartition(n, "vec_id")
     schema, out = "query_id long, vec_id long, score double", None
