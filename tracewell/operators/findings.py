@@ -355,17 +355,28 @@ def rates(evaluation: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumns({"tpr": ratio(F.col("tp"), F.col("fn")), "fpr": ratio(F.col("fp"), F.col("tn")), "precision": ratio(F.col("tp"), F.col("fp"))})
 
 
+def _near_lines(lines: DataFrame, distance: int, **keys: str) -> DataFrame:
+    """Lines with new names (``line_number`` is ``near_line``), each under the buckets of lines that can be within ``distance`` of it."""
+    at = F.floor(F.col("line_number") / (distance + 1))
+    named = [F.col(old).alias(new) for new, old in keys.items()]
+    return lines.where("line_number is not null").select(*named, F.col("line_number").alias("near_line"), F.explode(F.array(at - 1, at, at + 1)).alias("near_bucket"))
+
+
+def _within(distance: int) -> Column:
+    return (F.floor(F.col("line_number") / (distance + 1)) == F.col("near_bucket")) & (F.abs(F.col("line_number") - F.col("near_line")) <= distance)
+
+
 def still_vulnerable(original: DataFrame, rescan: DataFrame, distance: int = 5) -> DataFrame:
     """Original findings that a finding of the same file and type within ``distance`` lines shows again."""
-    new = rescan.select(F.col("file_path").alias("n_path"), F.col("vulnerability_type").alias("n_type"), F.col("line_number").alias("n_line"))
-    return original.join(new, (F.col("file_path") == F.col("n_path")) & (F.col("vulnerability_type") == F.col("n_type")) & (F.abs(F.col("line_number") - F.col("n_line")) <= distance), "left_semi")
+    new = _near_lines(rescan, distance, n_path="file_path", n_type="vulnerability_type")
+    return original.join(new, (F.col("file_path") == F.col("n_path")) & (F.col("vulnerability_type") == F.col("n_type")) & _within(distance), "left_semi")
 
 
 def introduced(original: DataFrame, rescan: DataFrame, distance: int = 20) -> DataFrame:
     """Findings of HIGH or above that no original one of the same type and rule within ``distance`` lines explains."""
-    old = original.select(F.col("file_path").alias("o_path"), F.col("vulnerability_type").alias("o_type"), F.col("rule_id").alias("o_rule"), F.col("line_number").alias("o_line"))
+    old = _near_lines(original, distance, o_path="file_path", o_type="vulnerability_type", o_rule="rule_id")
     same = (F.col("file_path") == F.col("o_path")) & (F.col("vulnerability_type") == F.col("o_type")) & (F.col("rule_id") == F.col("o_rule"))
-    return at_least(rescan, "HIGH").join(old, same & (F.abs(F.col("line_number") - F.col("o_line")) <= distance), "left_anti")
+    return at_least(rescan, "HIGH").join(old, same & _within(distance), "left_anti")
 
 
 def lines_of(code: DataFrame) -> DataFrame:

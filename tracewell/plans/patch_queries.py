@@ -10,13 +10,13 @@ from tracewell.operators.catalogue import RULES
 from tracewell.operators.cut import cut
 from tracewell.operators.findings import organisation_totals, still_vulnerable
 from tracewell.operators.patch import REWRITERS, patched
-from tracewell.operators.registry import Registry, recommendation
+from tracewell.operators.registry import Registry, recommendation, registry_stats
 from tracewell.operators.rulespec import Match, Rule, quoted
 from tracewell.operators.scan import scan
 from tracewell.plans.corpus import FILES_SQL, derived_files
 from tracewell.plans.oracle import rule_sql
 from tracewell.plans.tables import FINDINGS_SQL, derived_findings
-from tracewell.streaming.notify import tickets
+from tracewell.streaming.notify import chat_message, mail_lines, tickets
 
 #: Rules as a user may add them; the second is switched off.
 OWN_RULES = (
@@ -79,8 +79,25 @@ def ticket_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tickets(derived_findings(spark, sf_dir), "SEC")
 
 
+def registry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the registry, beside the number of files that it is for."""
+    files = derived_files(spark, sf_dir).groupBy("language").count().agg(F.sum("count").alias("files"), F.count("*").alias("file_languages"))
+    return registry_stats(Registry([*RULES, *OWN_RULES]).frame(spark)).crossJoin(files)  # one row each
+
+
+def mail_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings by rank as lines of a mail."""
+    return mail_lines(derived_findings(spark, sf_dir))
+
+
+def chat_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message on a scan with its first findings."""
+    return chat_message(derived_findings(spark, sf_dir), "src")
+
+
 _RULES_SQL = "rules(rule_id, lang, enabled) AS (VALUES " + ", ".join(f"({quoted(r.rule_id)}, {quoted(x)}, {str(r.enabled).lower()})" for r in (*RULES, *OWN_RULES) for x in r.languages) + ")"
-QUERIES = {q.__name__: q for q in (patch_lines, patch_rescan, own_rules, rules_by_language, recommendations, org_totals, ticket_payloads)}
+_ORDER = "ORDER BY severity_value DESC, confidence_score DESC, file_path, coalesce(line_number, 0), rule_id"
+QUERIES = {q.__name__: q for q in (patch_lines, patch_rescan, own_rules, rules_by_language, recommendations, org_totals, ticket_payloads, registry_summary, mail_body, chat_payload)}
 ORACLES = {
     "own_rules": rule_sql(OWN_RULES[0]),
     "rules_by_language": f"""WITH {FILES_SQL}, {_RULES_SQL}, n AS (SELECT language, count(*) AS files FROM files GROUP BY language)
@@ -94,4 +111,22 @@ SELECT language, files, count_if(enabled) AS enabled, count_if(NOT enabled) AS d
 'issuetype', json_object('name', 'Bug'))) AS VARCHAR) AS payload FROM findings WHERE severity_value >= 4""",
     "recommendations": f"""WITH {FINDINGS_SQL} SELECT 'Review the ' || vulnerability_type || ' vulnerability at the flagged location and apply appropriate sanitisation or safe API usage. Refer to: '
 || coalesce(nullif(trim(upper(cwe_id)), ''), 'OWASP Top 10') || '.' AS recommendation, count(*) AS n FROM findings GROUP BY 1""",
+    "registry_summary": f"""WITH {FILES_SQL}, {_RULES_SQL}, n AS (SELECT count(*) AS files, count(DISTINCT language) AS file_languages FROM files)
+SELECT count(DISTINCT rule_id) AS total, count(DISTINCT rule_id) FILTER (enabled) AS enabled, count(DISTINCT rule_id) FILTER (NOT enabled) AS disabled,
+  array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages, any_value(files) AS files, any_value(file_languages) AS file_languages FROM rules, n""",
+    "mail_body": f"""WITH {FINDINGS_SQL}, r AS (SELECT *, row_number() OVER ({_ORDER}) AS rank FROM findings)
+SELECT rank, rank || '. [' || severity || '] ' || vulnerability_type || ' at ' || file_path || coalesce(':' || line_number, '') || chr(10) || '   Remediation: Review the ' || vulnerability_type
+|| ' vulnerability at the flagged location and apply appropriate sanitisation or safe API usage. Refer to: ' || coalesce(nullif(cwe_id, ''), 'OWASP Top 10') || '.' AS text FROM r""",
+    "chat_payload": f"""WITH {FINDINGS_SQL}, r AS (SELECT *, row_number() OVER ({_ORDER}) AS k FROM findings),
+t AS (SELECT string_agg(k || '. *[' || severity || ']* ' || vulnerability_type || ' at `' || file_path || coalesce(':' || line_number, '') || '`', chr(10) ORDER BY k) AS top FROM r WHERE k <= 5),
+n AS (SELECT count_if(severity = 'CRITICAL') AS c, count_if(severity = 'HIGH') AS h, count_if(severity = 'MEDIUM') AS m, count_if(severity = 'LOW') AS l, count(*) AS total FROM findings),
+s AS (SELECT *, c * 10 + h * 5 + m * 2 + l AS score FROM n)
+SELECT CAST(json_object('blocks', json_array(
+  json_object('type', 'header', 'text', json_object('type', 'plain_text', 'text', 'Security Scan Report')),
+  json_object('type', 'section', 'text', json_object('type', 'mrkdwn', 'text', '*Target:* `src`' || chr(10) || '*Scanner:* `rules`' || chr(10) || '*Risk Level:* *'
+    || CASE WHEN c > 0 OR score >= 20 THEN 'CRITICAL' WHEN score >= 10 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' WHEN score >= 1 THEN 'LOW' ELSE 'CLEAR' END || '* (Score: ' || score || ')')),
+  json_object('type', 'section', 'fields', json_array(json_object('type', 'mrkdwn', 'text', '*Critical:* ' || c), json_object('type', 'mrkdwn', 'text', '*High:* ' || h),
+    json_object('type', 'mrkdwn', 'text', '*Medium:* ' || m), json_object('type', 'mrkdwn', 'text', '*Low:* ' || l))),
+  json_object('type', 'divider'),
+  json_object('type', 'section', 'text', json_object('type', 'mrkdwn', 'text', '*Top Findings:*' || chr(10) || top || chr(10) || '...and ' || (total - 5) || ' more.')))) AS VARCHAR) AS payload FROM s, t""",
 }
