@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -58,3 +59,30 @@ def fold_groups(df: DataFrame, keys: list[str], fold: Callable[[list[dict]], Ite
         yield pa.RecordBatch.from_pylist(out, arrow)
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, made)
+
+
+def fold_flagged(df: DataFrame, keys: list[str], flag: str, fold: Callable[[list[dict]], Iterable[dict]], schema: StructType) -> DataFrame:
+    """``fold(rows)`` of each group of equal ``keys`` among the rows where ``flag`` holds; the others pass as they are, as Arrow.
+
+    ``df`` lies so that a group is in one partition, group after group, as behind a window over ``keys``.
+    """
+    arrow, names = to_arrow_schema(schema), schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            flagged = batch.column(flag)
+            if (plain := batch.filter(pc.invert(flagged))).num_rows:
+                yield plain.select(names).cast(arrow)
+            out: list[dict] = []
+            for key, group in groupby(batch.filter(flagged).to_pylist(), key=lambda r: tuple(r[k] for k in keys)):
+                if held and tuple(held[0][k] for k in keys) != key:
+                    out += fold(held)
+                    held = []
+                held += group
+            if out:
+                yield pa.RecordBatch.from_pylist([{k: r[k] for k in names} for r in out], arrow)
+        if held:
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in names} for r in fold(held)], arrow)
+
+    return df.mapInArrow(run, schema)

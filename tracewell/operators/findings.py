@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import split_lines, strip
 from tracewell.operators.compliance import FRAMEWORKS, rows
-from tracewell.operators.cut import cut, fold_groups
+from tracewell.operators.cut import cut, fold_flagged, fold_groups
 from tracewell.operators.rulespec import SEVERITIES
 
 # Words, families, weights and distances that decide results.
@@ -193,16 +193,16 @@ def merge_file(rows_: list[dict]) -> Iterator[dict]:
 def merged(findings: DataFrame) -> DataFrame:
     """Internal and external findings (``engine``; order by ``emit_seq``) with near ones of a file and type merged, one by one.
 
-    A merge changes confidence and rule id, which later merges see, so neighbours are folded in order. Files are taken apart where
-    no merge can reach across: lines fall into buckets a little wider than the reach, and a run of buckets with findings is a group.
+    A merge changes confidence and rule id, which later merges see, so neighbours are folded in order. Findings that no gap of
+    over ``MERGE_LINES`` lines parts are a run, and only runs of both engines are folded; all others, and those without a line, pass.
     """
     keys = ["file_path", "vulnerability_type"]
-    placed = findings.withColumn("bucket", F.floor(F.col("line_number") / (MERGE_LINES + 1)))
-    runs = placed.select(*keys, "bucket").distinct().withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("bucket")))
-    runs = runs.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("bucket").alias("r_bucket"), (F.col("bucket") - F.col("n")).alias("run"))
-    same = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in (*keys, "bucket")]
-    grouped = placed.join(runs, same, "left").select(*findings.columns, "run")
-    return fold_groups(grouped, [*keys, "run"], merge_file, findings.schema)
+    by_line = Window.partitionBy(*keys).orderBy(F.col("line_number").asc_nulls_first())
+    gap = F.when(F.col("line_number") - F.lag("line_number").over(by_line) > MERGE_LINES, 1).otherwise(0)
+    runs = findings.withColumn("__run", gap).withColumn("__run", F.sum("__run").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole, outside = Window.partitionBy(*keys, "__run"), F.coalesce(F.col("engine") == "external", F.lit(False))
+    both = F.max(outside).over(whole) & F.max(~outside).over(whole) & F.col("line_number").isNotNull()
+    return fold_flagged(runs.withColumn("__both", both), [*keys, "__run"], "__both", merge_file, findings.schema)
 
 
 def organisation_totals(results: DataFrame) -> DataFrame:
