@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -363,7 +365,21 @@ def sarif_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.groupBy("section").agg(F.count("*").alias("lines"), F.count_if(F.col("text").startswith(",")).alias("commas"))
 
 
-@query()
+def _controls_sql() -> str:
+    """The compliance map of a finding's CWE as JSON text."""
+    maps: dict[str, dict[str, str]] = {}
+    for cwe, framework, control in rows():
+        maps.setdefault(cwe, {})[framework] = control
+    return f"CASE {CWE_NUMBER} " + " ".join(f"WHEN {quoted(c)} THEN {quoted(json.dumps(m, separators=(',', ':'), ensure_ascii=False))}" for c, m in maps.items()) + " ELSE '{}' END"
+
+
+_JSON_FIELDS = [*[c.strip() for c in COLUMNS.split(",")], "confidence_tier", "confidence_percent", "location", "has_taint_flow"]
+
+
+@query(f"""WITH {FINDINGS_SQL}, d AS (SELECT *, {DERIVED_SQL} FROM findings),
+p AS (SELECT [{', '.join(f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || CAST(to_json({c}) AS VARCHAR) END" for c in _JSON_FIELDS)},
+  '"compliance":' || {_controls_sql()}, '"vulnerability":' || CAST(to_json(vulnerability_type) AS VARCHAR), '"confidence":' || confidence_percent] AS parts FROM d)
+SELECT '{{' || array_to_string(list_filter(parts, lambda x: x IS NOT NULL), ',') || '}}' AS value FROM p""")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(derived_findings(spark, sf_dir))
 
