@@ -11,6 +11,7 @@ from tracewell.operators.cut import cut
 from tracewell.operators.findings import organisation_totals, still_vulnerable
 from tracewell.operators.patch import REWRITERS, patched
 from tracewell.operators.registry import Registry, recommendation, registry_stats
+from tracewell.operators.repair import patched_to_rest
 from tracewell.operators.rulespec import Match, Rule, quoted
 from tracewell.operators.scan import scan
 from tracewell.plans.corpus import FILES_SQL, derived_files
@@ -47,6 +48,12 @@ def patch_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return still_vulnerable(findings, rescan).select("file_path", "line_number", "rule_id", "vulnerability_type")
 
 
+def patch_to_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with findings, patched and scanned again as long as findings become fewer."""
+    rest = patched_to_rest(derived_files(spark, sf_dir).where(F.col("language").isin("python", "java")), PATCHED_RULES)
+    return rest.where("rounds > 0 or findings > 0").select("file_path", F.array_join("lines", "\n").alias("code"), "rounds", "findings", "reason")
+
+
 def own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan by user's rules; the one that is switched off finds nothing."""
     return scan(derived_files(spark, sf_dir), [r.rule_id for r in OWN_RULES], catalogue=OWN_RULES)
@@ -97,7 +104,7 @@ def chat_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RULES_SQL = "rules(rule_id, lang, enabled) AS (VALUES " + ", ".join(f"({quoted(r.rule_id)}, {quoted(x)}, {str(r.enabled).lower()})" for r in (*RULES, *OWN_RULES) for x in r.languages) + ")"
 _ORDER = "ORDER BY severity_value DESC, confidence_score DESC, file_path, coalesce(line_number, 0), rule_id"
-QUERIES = {q.__name__: q for q in (patch_lines, patch_rescan, own_rules, rules_by_language, recommendations, org_totals, ticket_payloads, registry_summary, mail_body, chat_payload)}
+QUERIES = {q.__name__: q for q in (patch_lines, patch_rescan, patch_to_rest, own_rules, rules_by_language, recommendations, org_totals, ticket_payloads, registry_summary, mail_body, chat_payload)}
 ORACLES = {
     "own_rules": rule_sql(OWN_RULES[0]),
     "rules_by_language": f"""WITH {FILES_SQL}, {_RULES_SQL}, n AS (SELECT language, count(*) AS files FROM files GROUP BY language)
