@@ -20,8 +20,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    return cut(df, name)
+    """Write ``df`` to a table in the shared folder and read it back: lineage ends there and a lost executor costs nothing.
+
+    What the steps before it shuffled is then needed no more. Spark deletes such files when the driver's JVM collects what refers to
+    them, which a driver with little to do rarely does by itself, so it is asked to.
+    """
+    out = cut(df, name)
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
