@@ -21,7 +21,8 @@ from tracewell.llm.html_text import fit_weights, main_text
 from tracewell.llm.language import UNKNOWN, fit_centroids, identify_language
 from tracewell.llm.neighbours import nearest_neighbours
 from tracewell.llm.packing import pack_documents, piece_lengths
-from tracewell.llm.simhash import near_duplicates, shingle_hashes, simhash_components, trie_self_join
+from tracewell.llm import simhash
+from tracewell.llm.simhash import Bags, _node, _wide_fingerprint, near_duplicates, near_links, near_pairs, shingle_hashes, simhash_components, trie_self_join
 from tracewell.llm.token_files import read_token_files, write_token_files
 from tracewell.llm.tool_calls import link_tool_calls, schema_errors
 from tracewell.llm.toxicity import STRIDE, WIDTH, GatedNetwork, Scorer, Words, score_toxicity, train, window_starts
@@ -603,3 +604,51 @@ def test_main_text_comes_from_learned_weights(sf_dir, monkeypatch):
     story = "<p>" + "word " * 40 + "</p>"
     assert main_text(f"<body><div>{menu}</div>{story}", weights) == ("word " * 40).strip()
     assert main_text(f"<body><article>{story}<ul><li>One</li><li>Two</li></ul></article>", weights).endswith("One\nTwo")
+
+
+def test_tries_give_near_duplicates(spark, monkeypatch):
+    """Without pairs from the tries nothing is a near-duplicate; with them, pairs of similarity 0.8 meet, of long and of small bags."""
+    r = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(9000)]
+    rows, want = [], set()
+    for k in range(300):
+        n = int(r.integers(40, 300)) if k % 2 else int(r.integers(8, 24))
+        text = r.choice(words, n).tolist()
+        lost = max(1, (n - 4) // 9) if n > 12 else 0  # words changed at the end; n - 4 shingles
+        copy = [*text[: n - lost], *(f"n{k}-{j}" for j in range(lost))] if lost else [*text, "more"]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+        bags = [set(zip(*(t[j:] for j in range(5)), strict=False)) for t in (text, copy)]
+        if len(bags[0] & bags[1]) >= 0.8 * len(bags[0] | bags[1]):
+            want.add((2 * k, 2 * k + 1))
+    assert len(want) > 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.component_id, x.doc_id) for x in near_duplicates(docs).where("component_id <> doc_id").collect()}
+    assert got == want
+    monkeypatch.setattr(simhash, "near_pairs", lambda *a: near_pairs(*a).limit(0))
+    assert near_duplicates(docs).where("component_id <> doc_id").count() == 0
+
+
+def test_links_of_one_trie_connect_what_all_pairs_connect(monkeypatch):
+    """A crowd of near copies among other texts, in tries walked to nodes of any size, against all pairs."""
+    r = np.random.default_rng(6)
+    base = [r.choice([f"w{k}" for k in range(3000)], 120).tolist() for _ in range(40)]
+    texts = []
+    for k in range(400):
+        text = list(base[0] if k < 250 else base[int(r.integers(0, 40))])
+        for at in r.integers(0, 120, int(r.integers(0, 12))):
+            text[at] = f"z{r.integers(0, 10**9)}"
+        texts.append(" ".join(text))
+    bags = [Bags(5).bag(t) for t in texts]
+    wide, size = np.array([_wide_fingerprint(b) for b in bags]).view("<u8"), np.array([len(b) for b in bags])
+    order = np.argsort(wide[:, 3])
+    wide, size = wide[order], size[order]
+    assert len({_node(b) for b in bags}) > 300
+    for leaf in (8, 64, 4096):
+        monkeypatch.setattr(simhash, "NEAR_LEAF", leaf)
+        i, j = near_links(wide[:, 3], wide, size, 20, 0.8)
+        links = [
+            (a, b) for a in range(400) for b in range(a + 1, 400)
+            if int(wide[a, 3] ^ wide[b, 3]).bit_count() <= 20 and np.bitwise_count(wide[a] ^ wide[b]).sum() <= simhash.FILTER_BITS and min(size[a], size[b]) >= 0.8 * max(size[a], size[b]) - 1e-9
+        ]
+        assert brute_components(zip(i.tolist(), j.tolist(), strict=True), range(400)) == brute_components(links, range(400))
+        assert len(i) < 400 and len(links) > 5000

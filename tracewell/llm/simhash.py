@@ -74,6 +74,17 @@ def simhash_fingerprints(docs: DataFrame, width: int = 3, words: int = 1, id_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary")
 
 
+def _children(keys: np.ndarray, level: int, budget: int, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, diff: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pairs of children of the node pairs [a0, a1), [b0, b1) that the bit ``level`` of the keys leaves within the budget."""
+    ones = np.r_[0, np.cumsum((keys >> np.uint64(level)) & np.uint64(1)).astype(np.int64)]
+    am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+    own = a0 == b0
+    children = [(a0, am, b0, bm, diff), (am, a1, bm, b1, diff), (a0, am, bm, b1, diff + 1), tuple(v[~own] for v in (am, a1, b0, bm, diff + 1))]
+    a0, a1, b0, b1, diff = (np.concatenate(v) for v in zip(*children, strict=True))
+    live = (a1 > a0) & (b1 > b0) & (diff <= budget) & ~((a0 == b0) & (a1 - a0 < 2))
+    return tuple(v[live] for v in (a0, a1, b0, b1, diff))
+
+
 def trie_self_join(groups: np.ndarray, keys: np.ndarray, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Pairs of ``keys`` of the same group that differ in ``budget`` of their low ``bits`` bits at most, as index arrays.
 
@@ -104,13 +115,7 @@ def trie_self_join(groups: np.ndarray, keys: np.ndarray, bits: int, budget: int)
         a0, a1, b0, b1, diff = (v[~small] for v in (a0, a1, b0, b1, diff))
         if not len(a0) or level < 0:
             break
-        ones = np.r_[0, np.cumsum((keys >> np.uint64(level)) & np.uint64(1)).astype(np.int64)]
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
-        own = a0 == b0
-        children = [(a0, am, b0, bm, diff), (am, a1, bm, b1, diff), (a0, am, bm, b1, diff + 1), tuple(v[~own] for v in (am, a1, b0, bm, diff + 1))]
-        a0, a1, b0, b1, diff = (np.concatenate(v) for v in zip(*children, strict=True))
-        live = (a1 > a0) & (b1 > b0) & (diff <= budget) & ~((a0 == b0) & (a1 - a0 < 2))
-        a0, a1, b0, b1, diff = (v[live] for v in (a0, a1, b0, b1, diff))
+        a0, a1, b0, b1, diff = _children(keys, level, budget, a0, a1, b0, b1, diff)
     for k in np.argsort(a0 != b0, kind="stable"):  # leaves of many equal keys, those joined with themselves first
         yield np.arange(a0[k], a1[k]), np.arange(b0[k], b1[k]), True
 
@@ -278,13 +283,17 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col:
     return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-#: An element in the prefixes of more texts than this is put last in the order of elements, if it is among so many most common.
-COMMON, MOST_COMMON = 256, 1_000_000
-#: Rounds in which each list is linked to one of its members before members that are still apart are compared.
-ROUNDS = 3
-#: 64-bit words of the fingerprints that sort out candidates, and the bits in which two may differ. Of 512 bits, bags of
-#: similarity 0.8 differ in 76 with a standard deviation of 8; bags of fewer elements than ``SMALL`` are not sorted out.
-FILTER_WORDS, FILTER_BITS, SMALL = 8, 130, 6
+#: 64-bit words of the fingerprints of ``near_duplicates``, and the bits in which two of a link may differ. Of 512 bits, bags of
+#: similarity 0.8 differ in 78 with a standard deviation of 8.
+FILTER_WORDS, FILTER_BITS = 8, 130
+#: The chance that no trie holds both of a pair of similarity 0.8, at most; more alike ones have a smaller one.
+MISSED = 1e-6
+#: Keys below one window value, on average, and on each side of the nodes at which a walk compares keys outright.
+NEAR_SUBTREE, NEAR_LEAF = 2048, 4096
+#: Bits of 64 in which keys of a link may differ: four of 10,000 pairs of similarity 0.8 go beyond.
+KEY_BUDGET = 20
+#: Bags of fewer elements are also joined by elements. Fingerprints of those of fewer than ``TINY`` do not sort out pairs.
+SMALL, TINY = 16, 6
 #: Rows of each side of a cell in which members of a region are compared.
 CELL = 1024
 #: Elements that more rows of a cell have are counted by a matrix product.
@@ -302,15 +311,15 @@ class Bags:
 
     def bag(self, text: str | None) -> np.ndarray:
         """The second, third... occurrence of a shingle is an element of its own; fewer words than ``width`` are one shingle."""
-        words = _WORD.findall((text or "").lower() if (text or "").isascii() else text.translate(_LOWER))
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z alone, and ASCII white space
         if not words:
             return np.empty(0, np.uint64)
         if len(self.known) > self.limit:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)
-        one = np.array([known[w] for w in words], np.uint64)
+            known[w] = xxhash.xxh64_intdigest(w, 42)
+        one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         k = min(self.width, len(one))
         h = np.full(len(one) - k + 1, k, np.uint64)
         for a in range(k):
@@ -347,50 +356,27 @@ def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, rows)
 
 
-def _bag_nodes(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, node, size and fingerprint words of every text; all but doc_id are null without words."""
-    names = ["doc_id", "node", "size", *_FP]
+def _bag_nodes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, node, size and fingerprint words of every text; all but doc_id are null without words.
+
+    few: of a bag of fewer than ``SMALL / similarity`` elements, those of which two bags that are so alike share one at least:
+    in the order of hashes the first ``n - ceil(similarity * n) + 1`` of ``n``.
+    """
+    names = ["node", "size", *_FP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         bags = Bags(width)
         for batch in batches:
             for some in _slices(batch):
-                rows = [(_node(bag), len(bag), *_wide_fingerprint(bag).tolist()) if len(bag := bags.bag(t)) else (None,) * (len(names) - 1) for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=names)
+                rows, few = [], []
+                for t in some.column(1).to_pylist():
+                    n = len(bag := bags.bag(t))
+                    rows.append((_node(bag), n, *_wide_fingerprint(bag).tolist()) if n else (None,) * len(names))
+                    few.append(bag[: n - math.ceil(similarity * n - _ROUNDING) + 1].view(np.int64).tolist() if 0 < n < SMALL / similarity else None)
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(few, pa.list_(pa.int64()))], names=["doc_id", *names, "few"])
 
-    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def _prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """element, node, size: of each bag the elements of which two bags that are ``similarity`` alike share one at least.
-
-    Elements are ordered by their hashes, those in ``common`` (sorted) last. A task gives a node once.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        common, bags, seen = shared.value, Bags(width), set()
-        for batch in (some for batch in batches for some in _slices(batch)):
-            out: list[list] = [[], [], []]
-            for text in batch.column(0).to_pylist():
-                bag = bags.bag(text)
-                n = len(bag)
-                if not n or (node := _node(bag)) in seen:
-                    continue
-                if len(seen) < 1_000_000:  # repeats beyond are harmless
-                    seen.add(node)
-                if len(common):
-                    last = common[np.minimum(np.searchsorted(common, bag), len(common) - 1)] == bag
-                    bag = np.r_[bag[~last], bag[last]]
-                own = bag[: n - math.ceil(similarity * n - _ROUNDING) + 1]
-                for column, values in zip(out, (own.view(np.int64), np.full(len(own), node), np.full(len(own), n, np.int32)), strict=True):
-                    column.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["element", "node", "size"])
-
-    return texts.select("text").mapInArrow(run, "element long, node long, size int")
+    return texts.mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in names)}, few array<long>")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -398,62 +384,151 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST else df
 
 
-def _lists(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, int]:
-    """element, node, size: prefix elements that two nodes or more have; and the number of such elements.
+def windows_needed(similarity: float, window: int, bits: int = 64 * FILTER_WORDS) -> int:
+    """So many windows of ``window`` bits that fingerprints of the similarity agree in none with a chance of ``MISSED`` at most.
 
-    One count of all prefixes finds the most common elements, which then go last; that order bears on cost alone.
+    They differ in a share of ``acos(2 s / (1 + s)) / pi`` of their bits, or a little more for some sizes of bags. Windows are
+    taken as drawn at random from the same bits, so the chance is a sum over the numbers of bits that differ.
     """
-    counted = _prefixes(texts, width, similarity, np.empty(0, np.uint64)).groupBy("element").count().where(F.col("count") > COMMON)
-    rows = counted.orderBy(F.desc("count"), "element").limit(MOST_COMMON).select("element").toPandas()
-    common = np.sort(rows["element"].to_numpy(np.int64).view(np.uint64))
-    postings = materialise(_prefixes(texts, width, similarity, common), "postings")
-    shared = materialise(postings.groupBy("element").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("element", "n"), "shared")
-    n = shared.count()
-    return materialise(postings.join(_small(shared, n), "element"), "lists"), n
-
-
-def _sizes_fit(a: str, b: str, similarity: float) -> Column:
-    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(_ROUNDING)
+    share = 1.05 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    apart = np.arange(bits - window)
+    log = np.array([math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) + d * math.log(share) + (bits - d) * math.log1p(-share) for d in apart])
+    agree = np.prod([(bits - apart - k) / (bits - k) for k in range(window)], axis=0)
+    count = 1
+    while (np.exp(log) * (1 - agree) ** count).sum() > MISSED:
+        count += 1
+    return count
+
+
+def trie_blocks(keys: np.ndarray, bits: int, budget: int, most: int) -> Iterator[tuple[int, int, int, int]]:
+    """Pairs of nodes [a0, a1), [b0, b1) of the trie of sorted ``keys`` at which the walk ends: those of ``most`` keys a side, or
+    without further bits. They hold all pairs of keys that differ in ``budget`` bits at most.
+    """
+    a0, a1, diff = np.array([0]), np.array([len(keys)]), np.zeros(1, np.int8)
+    b0, b1 = a0, a1
+    for level in range(bits - 1, -2, -1):
+        small = (a1 - a0 <= most) & (b1 - b0 <= most) if level >= 0 else np.ones(len(a0), bool)
+        yield from zip(*(v[small].tolist() for v in (a0, a1, b0, b1)), strict=True)
+        a0, a1, b0, b1, diff = (v[~small] for v in (a0, a1, b0, b1, diff))
+        if not len(a0):
+            return
+        a0, a1, b0, b1, diff = _children(keys, level, budget, a0, a1, b0, b1, diff)
 
 
-def _prints_fit(a: str, b: str) -> Column:
-    """Whether the fingerprints of two nodes differ in ``FILTER_BITS`` bits at most, or a bag is too small to tell."""
-    apart = sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _FP), F.lit(0))
-    return (F.least(f"{a}.size", f"{b}.size") < SMALL) | (apart <= FILTER_BITS)
+def connecting(forest: Forest, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """So many of the pairs as connect what all of them connect in the forest, to which they are added."""
+    found = []
+    while len(i):
+        roots = forest.root[i], forest.root[j]
+        apart = roots[0] != roots[1]
+        i, j = i[apart], j[apart]
+        if len(i):
+            pick = np.unique(np.r_[np.unique(roots[0][apart], return_index=True)[1], np.unique(roots[1][apart], return_index=True)[1]])
+            found.append((i[pick], j[pick]))
+            forest.add(i[pick], j[pick])
+    return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])) if found else (i, j)
 
 
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def near_links(keys: np.ndarray, wide: np.ndarray, size: np.ndarray, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of one trie's sorted ``keys`` that connect what its pairs within all bounds connect.
 
+    Bounds: ``budget`` bits of the key, ``FILTER_BITS`` of the whole fingerprint (``wide``), sizes that allow the similarity.
+    Keys that are connected to most of the others already are not compared with those again.
+    """
+    forest, found = Forest(len(keys)), []
+    for a0, a1, b0, b1 in trie_blocks(keys, 64, budget, NEAR_LEAF):
+        for at in range(a0, a1, 128):
+            x, y = np.arange(at, min(at + 128, a1)), np.arange(at if a0 == b0 else b0, b1)
+            root = forest.root.copy()
+            held = np.bincount(root[y])
+            sides = [(x, y)]
+            if held.max() > 1:
+                top = held.argmax()
+                sides = [(x[root[x] != top], y), (x[root[x] == top], y[root[y] != top])]
+            for u, v in sides:
+                i, j = np.nonzero(np.bitwise_count(keys[u][:, None] ^ keys[v][None, :]) <= budget)
+                i, j = u[i], v[j]
+                fit = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - _ROUNDING)
+                i, j = i[fit], j[fit]
+                near = (np.minimum(size[i], size[j]) < TINY) | (np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= FILTER_BITS)
+                found.append(connecting(forest, i[near], j[near]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def near_pairs(nodes: DataFrame, few: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes that connect whatever may have the similarity, by self-joins of tries.
+
+    ``nodes``: node, size and fingerprint words; ``few``: the same and an element, for small bags. Fingerprints are dealt out by
+    windows of their bits, in which pairs of the similarity agree somewhere but for a chance of ``MISSED``. Below each value
+    of a window lies a trie of 64 bits of the fingerprints, which is joined with itself; small bags' elements are such windows
+    too. A trie gives a forest, so fewer pairs than it has keys.
+    """
+    spark, bits = nodes.sparkSession, 64 * FILTER_WORDS
+    window = max(1, min(24, round(math.log2(max(2, nodes.count() / NEAR_SUBTREE)))))
+    count, each = windows_needed(similarity, window), bits // window
 
-def hub_pairs(lists: DataFrame, elements: int, similarity: float, turn: int) -> DataFrame:
-    """Pairs (a, b) of each list's members with one of them, which ``turn`` chooses, if their sizes allow the similarity."""
-    hubs = _hubs(lists, turn)
-    return lists.join(_small(hubs, elements), "element").where(F.col("node") != F.col("hub")).where(_sizes_fit("size", "hub_size", similarity)).select(*_ordered("node", "hub")).distinct()
+    def prints_of(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+        words = np.stack([batch.column(2 + k).to_numpy() for k in range(FILTER_WORDS)], axis=1)
+        return words, pa.array([w.tobytes() for w in words], pa.binary())
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.concatenate([np.random.default_rng(k).permutation(bits)[: each * window].reshape(each, window) for k in range(-(-count // each))])[:count]
+        weight = 1 << np.arange(window)
+        for batch in (some for batch in batches for some in _slices(batch, 2000)):
+            words, fp = prints_of(batch)
+            own = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+            for k in range(count):
+                tree = (k << window) + own[:, places[k]] @ weight
+                yield pa.RecordBatch.from_arrays([pa.array(tree), batch.column(0), batch.column(1), fp], names=["tree", "node", "size", "fp"])
+
+    def deal_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tree = pa.array(batch.column(2 + FILTER_WORDS).to_numpy() | np.int64(-(1 << 63)))  # no window's, as those are positive
+            yield pa.RecordBatch.from_arrays([tree, batch.column(0), batch.column(1), prints_of(batch)[1]], names=["tree", "node", "size", "fp"])
 
-def _hubs(lists: DataFrame, turn: int) -> DataFrame:
-    least = lists.groupBy("element").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node", "size")).alias("h"))
-    return least.select("element", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"))
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held: list[pa.RecordBatch] = []
 
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            """Join the tries that are complete: all but the last, unless nothing follows."""
+            table = pa.Table.from_batches(held).combine_chunks()
+            tree, node, size = (table.column(k).to_numpy() for k in range(3))
+            end = len(tree) if last else int(np.searchsorted(tree, tree[-1]))
+            held[:] = [table.slice(end).combine_chunks().to_batches()[0]] if end < len(tree) else []
+            if not end:
+                return
+            wide = np.frombuffer(b"".join(table.column(3).slice(0, end).to_pylist()), "<u8").reshape(end, -1)
+            starts = np.flatnonzero(np.r_[True, tree[1:end] != tree[: end - 1]])
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), end], strict=True):
+                if b - a > 1:
+                    keys = wide[a:b, (int(tree[a]) >> window) % FILTER_WORDS]
+                    order = np.argsort(keys, kind="stable")
+                    at = a + order
+                    i, j = near_links(keys[order], wide[at], size[at], KEY_BUDGET if tree[a] >= 0 else 64, similarity)
+                    out.append((node[at[i]], node[at[j]]))
+            if out:
+                x, y = (np.concatenate(v) for v in zip(*out, strict=True))
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-def open_pairs(lists: DataFrame, elements: int, nodes: DataFrame, labels: DataFrame, regions: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members of one list in different regions whose sizes and fingerprints allow the similarity.
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows > 60_000:
+                yield from done(False)
+                rows = sum(b.num_rows for b in held) // 2  # a large trie is put together at each doubling alone
+        if held:
+            yield from done(True)
 
-    The members whose label is not that of the list's hub meet all others. The others are dealt out over blocks of about
-    ``COMMON``, and the former are sent to each block, so no task meets a whole long list.
-    """
-    labelled = lists.join(labels, "node", "left").join(regions, "node", "left").withColumns({c: F.coalesce(c, "node") for c in ("label", "region")})
-    hubs = _hubs(lists, 0).join(labels.withColumnRenamed("node", "hub"), "hub", "left").select("element", F.coalesce("label", "hub").alias("hub_label"))
-    labelled = labelled.join(_small(hubs, elements), "element")
-    apart = labelled.where("label <> hub_label").select("element").distinct()
-    open_ = labelled.join(apart, "element", "left_semi").join(nodes.select("node", *_FP), "node")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / COMMON)).cast("int")
-    row = F.struct("node", "size", "label", "region", "hub_label", *_FP)
-    left = open_.where("label <> hub_label").select("element", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), row.alias("x"))
-    right = open_.select("element", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), row.alias("y"))
-    met = left.join(right, ["element", "block"]).where("x.label <> y.label and x.region <> y.region and (y.label = y.hub_label or x.node < y.node)")
-    return met.where(_sizes_fit("x.size", "y.size", similarity) & _prints_fit("x", "y")).select(*_ordered("x.node", "y.node")).distinct()
+    kind, columns = "tree long, node long, size int, fp binary", ["node", F.col("size").cast("int"), *_FP]
+    dealt = nodes.select(*columns).mapInArrow(deal, kind).unionByName(few.select(*columns, "element").mapInArrow(deal_few, kind))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = dealt.repartition(parts, "tree").sortWithinPartitions("tree")
+    return sorted_.mapInArrow(join, "a long, b long").where("a <> b").distinct()
 
 
 def linked_pairs(x: list[np.ndarray], y: list[np.ndarray], allowed: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -488,16 +563,8 @@ def linked_pairs(x: list[np.ndarray], y: list[np.ndarray], allowed: np.ndarray,
     place = np.repeat(row[mine], many) * len(y) + row[theirs][at] - len(x)
     common += np.bincount(place, minlength=common.size).reshape(common.shape)
     i, j = np.nonzero(allowed & (common >= similarity / (1 + similarity) * (size[: len(x), None] + size[None, len(x) :]) - 1e-3))
-    forest, found = Forest(len(size)), []
-    while len(i):
-        roots = forest.root[i], forest.root[len(x) + j]
-        apart = roots[0] != roots[1]
-        i, j = i[apart], j[apart]
-        if len(i):
-            pick = np.unique(np.r_[np.unique(roots[0][apart], return_index=True)[1], np.unique(roots[1][apart], return_index=True)[1]])
-            found.append((i[pick], j[pick]))
-            forest.add(i[pick], len(x) + j[pick])
-    return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])) if found else (i, j)
+    i, j = connecting(Forest(len(size)), i, len(x) + j)
+    return i, j - len(x)
 
 
 def region_pairs(regions: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -565,42 +632,28 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, simi
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of documents that links of Jaccard similarity ``similarity`` or more connect.
 
-    Bags of word shingles are compared, so repeats count. Two bags that are so alike share an element of their prefixes: in any
-    fixed order of all elements, the first ``n - ceil(similarity * n) + 1`` of ``n``. Elements that many prefixes hold go last
-    in the order, so that passages common to many texts make few pairs. Each list of nodes that share an element is first linked
-    to one member, a few times over. Members whose fingerprints are near that member's are a region, which is compared in cells;
-    last, members of one list that are in different components and regions are compared. Fingerprints of 512 bits sort out
-    candidates (a pair of similarity 0.8 stays but for one in ten billion), and every link is verified by its exact similarity.
+    Bags of word shingles are compared, so repeats count. Fingerprints of 512 bits are joined in tries (``near_pairs``), and what
+    their pairs connect is a region. Each pair is verified by exact similarity. Members of a region that are still apart are
+    compared in cells, and these links are verified too. A pair of similarity 0.8 shares no region with a chance of
+    ``MISSED``, and one that differs in more than ``FILTER_BITS`` bits is rarer still.
 
     Equal bags are one class from the start. Nulls, repeats and empty tables: as in ``simhash_components``, but a text without
     words is like no other and stands alone.
     """
     bound_batches(docs.sparkSession)
     everything = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = materialise(_bag_nodes(everything, width), "bags")
-    texts = everything.where("doc_id is not null")
+    prints = materialise(_bag_nodes(everything, width, similarity), "bags")
+    texts, compared = everything.where("doc_id is not null"), prints.where("node is not null and doc_id is not null")
     first = [F.first(c).alias(c) for c in ["size", *_FP]]  # equal for all rows of a node
-    nodes = materialise(prints.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"), *first), "nodes")
-    lists, elements = _lists(texts, width, similarity)
-    labels = docs.sparkSession.createDataFrame([], "node long, label long")
-    tried, regions = None, None
-    for turn in [*range(ROUNDS), "within", "between"]:
-        if turn == "within":
-            regions = materialise(connected_components(tried).toDF("node", "region"), "regions")
-            pairs = region_pairs(regions, nodes, labels, texts, width, similarity)
-        elif turn == "between":
-            pairs = open_pairs(lists, elements, nodes, labels, regions, similarity)
-        else:
-            x, y = (nodes.select(F.col("node").alias(k), F.struct("size", *_FP).alias(f"of_{k}")) for k in "ab")
-            pairs = hub_pairs(lists, elements, similarity, turn)
-            for k in "ab":
-                pairs = pairs.join(labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")), k, "left")
-            pairs = pairs.where("coalesce(label_a, a) <> coalesce(label_b, b)").join(x, "a").join(y, "b").where(_prints_fit("of_a", "of_b")).select("a", "b")
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = alike(pairs, nodes, texts, width, similarity)
-        found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = materialise(connected_components(found).toDF("node", "label"), "labels")
+    nodes = materialise(compared.groupBy("node").agg(F.min("doc_id").alias("id"), *first), "nodes")
+    few = compared.where("few is not null").select("node", "size", *_FP, F.explode("few").alias("element")).distinct()
+    tried = materialise(near_pairs(nodes, few, similarity), "pairs")
+    found = materialise(alike(tried, nodes, texts, width, similarity), "links")
+    labels = materialise(connected_components(found).toDF("node", "label"), "labels")
+    regions = materialise(connected_components(tried).toDF("node", "region"), "regions")
+    pairs = materialise(region_pairs(regions, nodes, labels, texts, width, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = found.unionByName(alike(pairs, nodes, texts, width, similarity))
+    labels = materialise(connected_components(found).toDF("node", "label"), "labels")
     labelled = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     classes = labelled.join(least, "label").select("node", "component_id")
