@@ -652,3 +652,27 @@ def test_links_of_one_trie_connect_what_all_pairs_connect(monkeypatch):
         ]
         assert brute_components(zip(i.tolist(), j.tolist(), strict=True), range(400)) == brute_components(links, range(400))
         assert len(i) < 400 and len(links) > 5000
+
+
+def test_words_of_ascii_are_not_translated_letter_by_letter():
+    """Pieces of letters, accented ones too, get the library's ids, and ASCII letters are not looked up one by one."""
+    import public_tokenizers
+
+    from tracewell.llm._tokens import PieceEncoder
+
+    class Table(dict):
+        seen = 0
+
+        def __getitem__(self, key):
+            Table.seen += 65 <= key < 128
+            return super().__getitem__(key)
+
+    words = [f"{a}{b}{c}" for a in ("Ab", "zzq", "é", "ÀØ", "Ü") for b in ("xk", "", "ß", "Ö") for c in ("th", "ÿ", "Q", "Ğ")]
+    for name, end in (("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 1)):
+        path = public_tokenizers.path(name)
+        coder = PieceEncoder(path)
+        coder.written = Table(coder.written)
+        plain = " ".join(w for w in words if w.isascii())
+        assert coder.encode_flat([plain], end)[0].tolist() == library_ids(path, plain, end) and Table.seen == 0
+        for text in (" ".join(words), " ".join(reversed(words)) + " ", words[7]):
+            assert coder.encode_flat([text], end)[0].tolist() == library_ids(path, text, end)

@@ -71,6 +71,7 @@ class PieceEncoder:
         self.bare.normalizer = self.bare.pre_tokenizer = None
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.written = {ord(c): as_bytes(c)[0][0] for c in map(chr, range(32, 256)) if not c.isascii() or c == " "}
+        self.letters = {c: w for c, w in self.written.items() if c != 32}
         self.limit = limit
         self._forget()
 
@@ -83,7 +84,11 @@ class PieceEncoder:
 
     def _append_words(self, words: list[str]) -> None:
         """Pieces of letters skip all steps but the merges, many to a call."""
-        words = [w.translate(self.written) for w in words] if self.kind == "byte" else [w.lower().translate(self.written) for w in words]
+        text = "\n".join(words) if self.kind == "byte" else "\n".join(words).lower()
+        text = text.replace(" ", self.written[32])
+        if not all(map(str.isascii, words)):
+            text = "\n".join([w if w.lstrip(self.written[32]).isascii() else w.translate(self.letters) for w in text.split("\n")])
+        words = text.split("\n") if words else []
         for a in range(0, len(words), 500):
             some = words[a : a + 500]
             coded = self.bare.encode(some, is_pretokenized=True, add_special_tokens=False)
@@ -93,8 +98,9 @@ class PieceEncoder:
         """The table's row of each of ``pieces``, which are distinct."""
         known = self.known
         new = [p for p in pieces if p not in known]
-        plain = [p for p in new if _PLAIN.fullmatch(p)]
-        other = [p for p in new if not _PLAIN.fullmatch(p)] if len(plain) < len(new) else []
+        plain, other = [], []
+        for p in new:
+            (plain if p.isalpha() and p.isascii() or _PLAIN.fullmatch(p) else other).append(p)
         known.update(zip(chain(plain, other), range(self.table.rows, self.table.rows + len(new)), strict=True))
         self._append_words(plain)
         self._append(other)
