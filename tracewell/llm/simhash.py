@@ -416,7 +416,7 @@ def trie_blocks(keys: np.ndarray, bits: int, budget: int, most: int) -> Iterator
 
 
 def connecting(forest: Forest, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """So many of the pairs as connect what all of them connect in the forest, to which they are added."""
+    """So many of the pairs as connect what all of them connect in the forest, to which they are added: up to four for each merger."""
     found = []
     while len(i):
         roots = forest.root[i], forest.root[j]
@@ -461,7 +461,7 @@ def near_pairs(nodes: DataFrame, few: DataFrame, similarity: float) -> DataFrame
     ``nodes``: node, size and fingerprint words; ``few``: the same and an element, for small bags. Fingerprints are dealt out by
     windows of their bits, in which pairs of the similarity agree somewhere but for a chance of ``MISSED``. Below each value
     of a window lies a trie of 64 bits of the fingerprints, which is joined with itself; small bags' elements are such windows
-    too. A trie gives a forest, so fewer pairs than it has keys.
+    too. A trie gives fewer pairs than four times its keys.
     """
     spark, bits = nodes.sparkSession, 64 * FILTER_WORDS
     window = max(1, min(24, round(math.log2(max(2, nodes.count() / NEAR_SUBTREE)))))
