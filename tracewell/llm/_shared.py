@@ -20,8 +20,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    return cut(df, name)
+    """Write ``df`` to a table in the shared folder and read it back: lineage ends there and a lost executor costs nothing.
+
+    What was shuffled for the table is needed no more, so Spark deletes these files when it is written; the setting is put back.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return cut(df, name)
+    finally:
+        conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

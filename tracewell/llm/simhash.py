@@ -286,14 +286,18 @@ def simhash_components(docs: DataFrame, width: int = 3, budget: int = 2, id_col:
 #: 64-bit words of the fingerprints of ``near_duplicates``, and the bits in which two of a link may differ. Of 512 bits, bags of
 #: similarity 0.8 differ in 78 with a standard deviation of 8.
 FILTER_WORDS, FILTER_BITS = 8, 130
+#: Words of them that a trie's rows hold, and the bits in which those may differ: as many standard deviations as above, or more.
+SENT_WORDS, SENT_BITS = 4, 76
 #: The chance that no trie holds both of a pair of similarity 0.8, at most; more alike ones have a smaller one.
 MISSED = 1e-6
 #: Keys below one window value, on average, and on each side of the nodes at which a walk compares keys outright.
-NEAR_SUBTREE, NEAR_LEAF = 2048, 4096
+NEAR_SUBTREE, NEAR_LEAF = 8192, 4096
 #: Bits of 64 in which keys of a link may differ: four of 10,000 pairs of similarity 0.8 go beyond.
 KEY_BUDGET = 20
 #: Bags of fewer elements are also joined by elements. Fingerprints of those of fewer than ``TINY`` do not sort out pairs.
 SMALL, TINY = 16, 6
+#: Members of a region that are compared in one place, each with each; larger regions are cut into cells.
+REGION = 64
 #: Rows of each side of a cell in which members of a region are compared.
 CELL = 1024
 #: Elements that more rows of a cell have are counted by a matrix product.
@@ -429,10 +433,10 @@ def connecting(forest: Forest, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray
     return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])) if found else (i, j)
 
 
-def near_links(keys: np.ndarray, wide: np.ndarray, size: np.ndarray, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def near_links(keys: np.ndarray, wide: np.ndarray, size: np.ndarray, budget: int, similarity: float, most: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of one trie's sorted ``keys`` that connect what its pairs within all bounds connect.
 
-    Bounds: ``budget`` bits of the key, ``FILTER_BITS`` of the whole fingerprint (``wide``), sizes that allow the similarity.
+    Bounds: ``budget`` bits of the key, ``most`` of the fingerprint words in ``wide``, sizes that allow the similarity.
     Keys that are connected to most of the others already are not compared with those again.
     """
     forest, found = Forest(len(keys)), []
@@ -450,7 +454,7 @@ def near_links(keys: np.ndarray, wide: np.ndarray, size: np.ndarray, budget: int
                 i, j = u[i], v[j]
                 fit = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - _ROUNDING)
                 i, j = i[fit], j[fit]
-                near = (np.minimum(size[i], size[j]) < TINY) | (np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= FILTER_BITS)
+                near = (np.minimum(size[i], size[j]) < TINY) | (np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= most)
                 found.append(connecting(forest, i[near], j[near]))
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
@@ -461,30 +465,34 @@ def near_pairs(nodes: DataFrame, few: DataFrame, similarity: float) -> DataFrame
     ``nodes``: node, size and fingerprint words; ``few``: the same and an element, for small bags. Fingerprints are dealt out by
     windows of their bits, in which pairs of the similarity agree somewhere but for a chance of ``MISSED``. Below each value
     of a window lies a trie of 64 bits of the fingerprints, which is joined with itself; small bags' elements are such windows
-    too. A trie gives fewer pairs than four times its keys.
+    too. Its rows hold ``SENT_WORDS`` words of the fingerprint, the key first, which are others for each window. A trie gives
+    fewer pairs than four times its keys.
     """
     spark, bits = nodes.sparkSession, 64 * FILTER_WORDS
     window = max(1, min(24, round(math.log2(max(2, nodes.count() / NEAR_SUBTREE)))))
     count, each = windows_needed(similarity, window), bits // window
 
-    def prints_of(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
-        words = np.stack([batch.column(2 + k).to_numpy() for k in range(FILTER_WORDS)], axis=1)
-        return words, pa.array([w.tobytes() for w in words], pa.binary())
+    def words_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(2 + k).to_numpy() for k in range(FILTER_WORDS)], axis=1)
+
+    def sent(words: np.ndarray, k: int) -> pa.Array:
+        some = np.ascontiguousarray(words[:, (k + np.arange(SENT_WORDS)) % FILTER_WORDS])
+        return pa.Array.from_buffers(pa.binary(8 * SENT_WORDS), len(some), [None, pa.py_buffer(some)]).cast(pa.binary())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = np.concatenate([np.random.default_rng(k).permutation(bits)[: each * window].reshape(each, window) for k in range(-(-count // each))])[:count]
         weight = 1 << np.arange(window)
         for batch in (some for batch in batches for some in _slices(batch, 2000)):
-            words, fp = prints_of(batch)
+            words = words_of(batch)
             own = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
             for k in range(count):
                 tree = (k << window) + own[:, places[k]] @ weight
-                yield pa.RecordBatch.from_arrays([pa.array(tree), batch.column(0), batch.column(1), fp], names=["tree", "node", "size", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree), batch.column(0), batch.column(1), sent(words, k)], names=["tree", "node", "size", "fp"])
 
     def deal_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tree = pa.array(batch.column(2 + FILTER_WORDS).to_numpy() | np.int64(-(1 << 63)))  # no window's, as those are positive
-            yield pa.RecordBatch.from_arrays([tree, batch.column(0), batch.column(1), prints_of(batch)[1]], names=["tree", "node", "size", "fp"])
+            yield pa.RecordBatch.from_arrays([tree, batch.column(0), batch.column(1), sent(words_of(batch), 0)], names=["tree", "node", "size", "fp"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -503,10 +511,10 @@ def near_pairs(nodes: DataFrame, few: DataFrame, similarity: float) -> DataFrame
             out: list[tuple[np.ndarray, np.ndarray]] = []
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), end], strict=True):
                 if b - a > 1:
-                    keys = wide[a:b, (int(tree[a]) >> window) % FILTER_WORDS]
+                    keys = wide[a:b, 0]
                     order = np.argsort(keys, kind="stable")
                     at = a + order
-                    i, j = near_links(keys[order], wide[at], size[at], KEY_BUDGET if tree[a] >= 0 else 64, similarity)
+                    i, j = near_links(keys[order], wide[at], size[at], KEY_BUDGET if tree[a] >= 0 else 64, similarity, SENT_BITS)
                     out.append((node[at[i]], node[at[j]]))
             if out:
                 x, y = (np.concatenate(v) for v in zip(*out, strict=True))
@@ -575,7 +583,8 @@ def region_pairs(regions: DataFrame, nodes: DataFrame, labels: DataFrame, texts:
     """
     labelled = regions.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counted = labelled.groupBy("region", "label").count().groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("n"), F.max("count").alias("m"))
-    members = labelled.join(counted.where("n > m"), "region")
+    counted = materialise(counted.where("n > m"), "counted")
+    members = labelled.join(_small(counted, counted.count()), "region")
     wanted = members.join(nodes.select("node", F.col("id").alias("doc_id")), "node").select("node", "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -605,6 +614,56 @@ def region_pairs(regions: DataFrame, nodes: DataFrame, labels: DataFrame, texts:
     return x.unionByName(y).groupBy("region", "p", "q").applyInPandas(meet, "a long, b long").distinct()
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two bags' Jaccard similarity is ``similarity`` or more."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - _ROUNDING:
+        return False
+    both = np.sort(np.r_[x, y], kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(both) - common) - _ROUNDING
+
+
+def region_links(regions: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of the similarity that connect what such pairs inside a region connect; ``regions``: node, region.
+
+    For regions of few members: their texts are dealt out by region, each once, and a task holds the bags of one region at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        bags = Bags(width)
+        region, held = None, {}
+
+        def links() -> list[tuple[int, int]]:
+            found, label = [], {node: node for node in held}
+            for b, y in held.items():
+                for a, x in held.items():
+                    if a == b:
+                        break
+                    if label[a] != label[b] and similar(x, y, similarity):
+                        found.append((a, b))
+                        gone = label[b]
+                        label = {node: label[a] if at == gone else at for node, at in label.items()}
+            return found
+
+        for batch in (some for batch in batches for some in _slices(batch)):
+            found = []
+            for at, node, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if at != region:
+                    found += links()
+                    region, held = at, {}
+                if node not in held and _node(bag := bags.bag(text)) == node:
+                    held[node] = bag
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        found = links()
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    wanted = regions.join(nodes.select("node", F.col("id").alias("doc_id")), "node")
+    found = texts.join(_small(wanted, regions.count()), "doc_id").select("region", "node", "text")
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose bags' Jaccard similarity is ``similarity`` or more.
 
@@ -618,9 +677,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, simi
             near = []
             for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 x, y = bags.bag(x), bags.bag(y)
-                both = np.sort(np.r_[x, y])
-                common = int((both[1:] == both[:-1]).sum())
-                near.append(common >= similarity * (len(both) - common) - _ROUNDING and _node(x) == a and _node(y) == b)
+                near.append(similar(x, y, similarity) and _node(x) == a and _node(y) == b)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("id").alias("doc_id")), "node")
@@ -629,13 +686,23 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, simi
     return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def large_region_links(tried: DataFrame, regions: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """As ``region_links``, for regions of any number of members: the pairs tried inside them first, then cells of those still apart."""
+    tried = materialise(tried.join(regions.select(F.col("node").alias("a")), "a").select("a", "b"), "pairs")
+    found = materialise(alike(tried, nodes, texts, width, similarity), "links")
+    labels = materialise(connected_components(found).toDF("node", "label"), "labels")
+    pairs = materialise(region_pairs(regions, nodes, labels, texts, width, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(alike(pairs, nodes, texts, width, similarity))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of documents that links of Jaccard similarity ``similarity`` or more connect.
 
     Bags of word shingles are compared, so repeats count. Fingerprints of 512 bits are joined in tries (``near_pairs``), and what
-    their pairs connect is a region. Each pair is verified by exact similarity. Members of a region that are still apart are
+    their pairs connect is a region. The members of a region of ``REGION`` or fewer are compared with each other by exact
+    similarity, where they are not connected yet. In larger regions each pair is verified first; members that are still apart are
     compared in cells, and these links are verified too. A pair of similarity 0.8 shares no region with a chance of
-    ``MISSED``, and one that differs in more than ``FILTER_BITS`` bits is rarer still.
+    ``MISSED``, and one that differs in more than ``SENT_BITS`` bits of those sent is rarer still.
 
     Equal bags are one class from the start. Nulls, repeats and empty tables: as in ``simhash_components``, but a text without
     words is like no other and stands alone.
@@ -648,11 +715,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     nodes = materialise(compared.groupBy("node").agg(F.min("doc_id").alias("id"), *first), "nodes")
     few = compared.where("few is not null").select("node", "size", *_FP, F.explode("few").alias("element")).distinct()
     tried = materialise(near_pairs(nodes, few, similarity), "pairs")
-    found = materialise(alike(tried, nodes, texts, width, similarity), "links")
-    labels = materialise(connected_components(found).toDF("node", "label"), "labels")
     regions = materialise(connected_components(tried).toDF("node", "region"), "regions")
-    pairs = materialise(region_pairs(regions, nodes, labels, texts, width, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = found.unionByName(alike(pairs, nodes, texts, width, similarity))
+    large = materialise(regions.groupBy("region").count().where(F.col("count") > REGION).select("region"), "large-regions")
+    number = large.count()
+    found = region_links(regions.join(_small(large, number), "region", "left_anti"), nodes, texts, width, similarity)
+    if number:
+        many = materialise(regions.join(_small(large, number), "region", "left_semi"), "regions")
+        found = found.unionByName(large_region_links(tried, many, nodes, texts, width, similarity))
     labels = materialise(connected_components(found).toDF("node", "label"), "labels")
     labelled = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
