@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -290,8 +291,12 @@ FILTER_WORDS, FILTER_BITS = 8, 130
 SENT_WORDS, SENT_BITS = 4, 76
 #: The chance that no trie holds both of a pair of similarity 0.8, at most; more alike ones have a smaller one.
 MISSED = 1e-6
-#: Keys below one window value, on average, and on each side of the nodes at which a walk compares keys outright.
-NEAR_SUBTREE, NEAR_LEAF = 8192, 4096
+#: Shingles, each the least of a bag in an order of its own, that make a value by which tries are dealt out.
+LEAST = 2
+#: Keys of a trie that is dealt out once more, by windows of bits, and keys below one window value, on average.
+HOT, NEAR_SUBTREE = 65536, 8192
+#: Keys on each side of the nodes at which a walk compares keys outright, and of tries that are compared many at a time.
+NEAR_LEAF, NEAR_SMALL = 4096, 64
 #: Bits of 64 in which keys of a link may differ: four of 10,000 pairs of similarity 0.8 go beyond.
 KEY_BUDGET = 20
 #: Bags of fewer elements are also joined by elements. Fingerprints of those of fewer than ``TINY`` do not sort out pairs.
@@ -351,6 +356,38 @@ def _wide_fingerprint(bag: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits > len(bag), bitorder="little").view("<i8")
 
 
+def values_needed(similarity: float) -> int:
+    """So many values of bags that those of the similarity agree in none with a chance of ``MISSED`` at most.
+
+    Bags have the same least element of a random order with a chance that is their similarity. The number of rows or of texts
+    plays no part: texts that share few shingles hardly ever agree.
+    """
+    return math.ceil(math.log(MISSED) / math.log(max(1e-9, 1 - similarity**LEAST)))
+
+
+def least_values(bag: np.ndarray, count: int) -> np.ndarray:
+    """``count`` numbers of tries, each from the least elements of a bag in ``LEAST`` orders; the number's high bits tell which it is."""
+    salt = _mixed(np.arange(1, count * LEAST + 1, dtype=np.uint64), 1)
+    least = np.full(len(salt), (1 << 64) - 1, np.uint64)
+    for a in range(0, len(bag), 4096):
+        z = (bag[a : a + 4096, None] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        least = np.minimum(least, z.min(0))
+    value = np.zeros(count, np.uint64)
+    for k, part in enumerate(least.reshape(LEAST, count)):
+        value = _mixed(value ^ part, k + 1)
+    return _tree(np.arange(count, dtype=np.uint64), value)
+
+
+def _tree(which: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The number of a trie, not negative: 11 bits of ``which`` and 52 of a hash."""
+    return ((which << np.uint64(52)) | (value >> np.uint64(12))).astype(np.int64)
+
+
+def _values(count: int) -> list[str]:
+    return [f"v{k}" for k in range(count)]
+
+
 _FP = [f"f{k}" for k in range(FILTER_WORDS)]
 
 
@@ -361,12 +398,13 @@ def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
 
 
 def _bag_nodes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, node, size and fingerprint words of every text; all but doc_id are null without words.
+    """doc_id, node, size, fingerprint words and numbers of tries of every text; all but doc_id are null without words.
 
     few: of a bag of fewer than ``SMALL / similarity`` elements, those of which two bags that are so alike share one at least:
     in the order of hashes the first ``n - ceil(similarity * n) + 1`` of ``n``.
     """
-    names = ["node", "size", *_FP]
+    count = values_needed(similarity)
+    names = ["node", "size", *_FP, *_values(count)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -376,7 +414,7 @@ def _bag_nodes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
                 rows, few = [], []
                 for t in some.column(1).to_pylist():
                     n = len(bag := bags.bag(t))
-                    rows.append((_node(bag), n, *_wide_fingerprint(bag).tolist()) if n else (None,) * len(names))
+                    rows.append((_node(bag), n, *_wide_fingerprint(bag).tolist(), *least_values(bag, count).tolist()) if n else (None,) * len(names))
                     few.append(bag[: n - math.ceil(similarity * n - _ROUNDING) + 1].view(np.int64).tolist() if 0 < n < SMALL / similarity else None)
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(few, pa.list_(pa.int64()))], names=["doc_id", *names, "few"])
 
@@ -459,18 +497,43 @@ def near_links(keys: np.ndarray, wide: np.ndarray, size: np.ndarray, budget: int
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
+def small_links(starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, wide: np.ndarray, size: np.ndarray, budget: np.ndarray, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``near_links``, for many small tries at once, whose keys are at ``starts`` to ``ends``; each has its own ``budget``."""
+    many = ends - starts
+    row = np.repeat(starts, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    after, allowed = np.repeat(ends, many) - row - 1, np.repeat(budget, many)
+    upto, forest, found = np.cumsum(after), Forest(len(keys)), []
+    for a, b in zip(cuts := np.unique(np.r_[0, np.searchsorted(upto, np.arange(1 << 18, upto[-1] if len(upto) else 0, 1 << 18)), len(row)]), cuts[1:], strict=False):
+        own = after[a:b]
+        i = np.repeat(row[a:b], own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        fit = (np.bitwise_count(keys[i] ^ keys[j]) <= np.repeat(allowed[a:b], own)) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - _ROUNDING)
+        i, j = i[fit], j[fit]
+        near = (np.minimum(size[i], size[j]) < TINY) | (np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= most)
+        found.append(connecting(forest, i[near], j[near]))
+    return tuple(np.concatenate([np.empty(0, np.int64), *(pair[k] for pair in found)]) for k in (0, 1))
+
+
+def hot_tries(nodes: DataFrame, count: int) -> DataFrame:
+    """tree and window: tries of more than ``HOT`` keys, and the bits of a window that leave ``NEAR_SUBTREE`` of them."""
+    trees = nodes.select(F.explode(F.array(*_values(count))).alias("tree")).withColumn("some", F.pmod("tree", F.lit(65536)))
+    full = trees.groupBy("some").count().where(F.col("count") > HOT).select("some")  # a few sums tell where none can be
+    counted = trees.join(F.broadcast(full), "some").groupBy("tree").count().where(F.col("count") > HOT)
+    return counted.select("tree", F.expr(f"cast(greatest(1, least(24, round(log2(count / {NEAR_SUBTREE})))) as int)").alias("window"))
+
+
 def near_pairs(nodes: DataFrame, few: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes that connect whatever may have the similarity, by self-joins of tries.
 
-    ``nodes``: node, size and fingerprint words; ``few``: the same and an element, for small bags. Fingerprints are dealt out by
-    windows of their bits, in which pairs of the similarity agree somewhere but for a chance of ``MISSED``. Below each value
-    of a window lies a trie of 64 bits of the fingerprints, which is joined with itself; small bags' elements are such windows
-    too. Its rows hold ``SENT_WORDS`` words of the fingerprint, the key first, which are others for each window. A trie gives
-    fewer pairs than four times its keys.
+    ``nodes``: node, size, fingerprint words and numbers of tries; ``few``: the same and an element, for small bags. A trie holds
+    64 bits of the fingerprints of all bags that share a value (``least_values``) and is joined with itself; the values are so
+    many that pairs of the similarity agree in one but for a chance of ``MISSED``. So a node makes as many rows at any size
+    of the table. Small bags' elements are such values too. A row holds ``SENT_WORDS`` words of the fingerprint, the key first,
+    which are others for each value. A trie of more than ``HOT`` keys (of a passage that many texts share) is dealt out once
+    more, by windows of those bits, in which pairs of the similarity agree somewhere with the same chance; these windows
+    become more as such a trie grows. A trie gives fewer pairs than four times its keys.
     """
-    spark, bits = nodes.sparkSession, 64 * FILTER_WORDS
-    window = max(1, min(24, round(math.log2(max(2, nodes.count() / NEAR_SUBTREE)))))
-    count, each = windows_needed(similarity, window), bits // window
+    spark, count, bits = nodes.sparkSession, values_needed(similarity), 64 * SENT_WORDS
 
     def words_of(batch: pa.RecordBatch) -> np.ndarray:
         return np.stack([batch.column(2 + k).to_numpy() for k in range(FILTER_WORDS)], axis=1)
@@ -480,18 +543,29 @@ def near_pairs(nodes: DataFrame, few: DataFrame, similarity: float) -> DataFrame
         return pa.Array.from_buffers(pa.binary(8 * SENT_WORDS), len(some), [None, pa.py_buffer(some)]).cast(pa.binary())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = np.concatenate([np.random.default_rng(k).permutation(bits)[: each * window].reshape(each, window) for k in range(-(-count // each))])[:count]
-        weight = 1 << np.arange(window)
         for batch in (some for batch in batches for some in _slices(batch, 2000)):
             words = words_of(batch)
-            own = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
             for k in range(count):
-                tree = (k << window) + own[:, places[k]] @ weight
-                yield pa.RecordBatch.from_arrays([pa.array(tree), batch.column(0), batch.column(1), sent(words, k)], names=["tree", "node", "size", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(2 + FILTER_WORDS + k), batch.column(0), batch.column(1), sent(words, k)], names=["tree", "node", "size", "fp"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[int, np.ndarray] = {}
+        for batch in (some for batch in batches for some in _slices(batch, 2000)):
+            yield batch.filter(pc.is_null(batch.column(4))).select(["tree", "node", "size", "fp"])
+            for window in batch.column(4).drop_null().unique().to_pylist():
+                if window not in places:
+                    each, needed = bits // window, windows_needed(similarity, window, bits)
+                    places[window] = np.concatenate([np.random.default_rng(k).permutation(bits)[: each * window].reshape(each, window) for k in range(-(-needed // each))])[:needed]
+                hot = batch.filter(pc.fill_null(pc.equal(batch.column(4), window), False))
+                own = np.unpackbits(np.frombuffer(b"".join(hot.column(3).to_pylist()), np.uint8).reshape(hot.num_rows, -1), axis=1, bitorder="little")
+                tree, weight = hot.column(0).to_numpy().astype(np.uint64), (1 << np.arange(window)).astype(np.uint64)
+                for k, at in enumerate(places[window]):
+                    value = _mixed(tree ^ _mixed(own[:, at] @ weight, k + 1), 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(_tree(tree >> np.uint64(52), value)), *hot.columns[1:4]], names=["tree", "node", "size", "fp"])
 
     def deal_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tree = pa.array(batch.column(2 + FILTER_WORDS).to_numpy() | np.int64(-(1 << 63)))  # no window's, as those are positive
+            tree = pa.array(batch.column(2 + FILTER_WORDS).to_numpy() | np.int64(-(1 << 63)))  # no value's, as those are positive
             yield pa.RecordBatch.from_arrays([tree, batch.column(0), batch.column(1), sent(words_of(batch), 0)], names=["tree", "node", "size", "fp"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,16 +582,19 @@ def near_pairs(nodes: DataFrame, few: DataFrame, similarity: float) -> DataFrame
                 return
             wide = np.frombuffer(b"".join(table.column(3).slice(0, end).to_pylist()), "<u8").reshape(end, -1)
             starts = np.flatnonzero(np.r_[True, tree[1:end] != tree[: end - 1]])
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), end], strict=True):
-                if b - a > 1:
-                    keys = wide[a:b, 0]
-                    order = np.argsort(keys, kind="stable")
-                    at = a + order
-                    i, j = near_links(keys[order], wide[at], size[at], KEY_BUDGET if tree[a] >= 0 else 64, similarity, SENT_BITS)
-                    out.append((node[at[i]], node[at[j]]))
-            if out:
-                x, y = (np.concatenate(v) for v in zip(*out, strict=True))
+            ends = np.r_[starts[1:], end]
+            budget = np.where(tree[starts] >= 0, KEY_BUDGET, 64)
+            small = ends - starts <= NEAR_SMALL
+            i, j = small_links(starts[small], ends[small], wide[:, 0], wide, size[:end], budget[small], similarity, SENT_BITS)
+            out = [(node[i], node[j])]
+            for a, b, most in zip(starts[~small].tolist(), ends[~small].tolist(), budget[~small].tolist(), strict=True):
+                keys = wide[a:b, 0]
+                order = np.argsort(keys, kind="stable")
+                at = a + order
+                i, j = near_links(keys[order], wide[at], size[at], most, similarity, SENT_BITS)
+                out.append((node[at[i]], node[at[j]]))
+            x, y = (np.concatenate(v) for v in zip(*out, strict=True))
+            if len(x):
                 pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -533,7 +610,12 @@ def near_pairs(nodes: DataFrame, few: DataFrame, similarity: float) -> DataFrame
             yield from done(True)
 
     kind, columns = "tree long, node long, size int, fp binary", ["node", F.col("size").cast("int"), *_FP]
-    dealt = nodes.select(*columns).mapInArrow(deal, kind).unionByName(few.select(*columns, "element").mapInArrow(deal_few, kind))
+    dealt = nodes.select(*columns, *_values(count)).mapInArrow(deal, kind)
+    if nodes.count() > HOT:
+        hot = materialise(hot_tries(nodes, count), "hot-tries")
+        if hot.take(1):
+            dealt = dealt.join(F.broadcast(hot), "tree", "left").select("tree", "node", "size", "fp", "window").mapInArrow(split, kind)
+    dealt = dealt.unionByName(few.select(*columns, "element").mapInArrow(deal_few, kind))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, "tree").sortWithinPartitions("tree")
     return sorted_.mapInArrow(join, "a long, b long").where("a <> b").distinct()
@@ -698,8 +780,8 @@ def large_region_links(tried: DataFrame, regions: DataFrame, nodes: DataFrame, t
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of documents that links of Jaccard similarity ``similarity`` or more connect.
 
-    Bags of word shingles are compared, so repeats count. Fingerprints of 512 bits are joined in tries (``near_pairs``), and what
-    their pairs connect is a region. The members of a region of ``REGION`` or fewer are compared with each other by exact
+    Bags of word shingles are compared, so repeats count. Fingerprints of 512 bits are joined in tries (``near_pairs``), one for all
+    bags with the same least shingles, and what their pairs connect is a region. The members of a region of ``REGION`` or fewer are compared with each other by exact
     similarity, where they are not connected yet. In larger regions each pair is verified first; members that are still apart are
     compared in cells, and these links are verified too. A pair of similarity 0.8 shares no region with a chance of
     ``MISSED``, and one that differs in more than ``SENT_BITS`` bits of those sent is rarer still.
@@ -711,7 +793,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     everything = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(_bag_nodes(everything, width, similarity), "bags")
     texts, compared = everything.where("doc_id is not null"), prints.where("node is not null and doc_id is not null")
-    first = [F.first(c).alias(c) for c in ["size", *_FP]]  # equal for all rows of a node
+    first = [F.first(c).alias(c) for c in ["size", *_FP, *_values(values_needed(similarity))]]  # equal for all rows of a node
     nodes = materialise(compared.groupBy("node").agg(F.min("doc_id").alias("id"), *first), "nodes")
     few = compared.where("few is not null").select("node", "size", *_FP, F.explode("few").alias("element")).distinct()
     tried = materialise(near_pairs(nodes, few, similarity), "pairs")
