@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import ast
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tracewell.operators.cut import cut, new_table
-from tracewell.operators.pyast import _FUNCS, FINDING_SCHEMA, function_facts, traced_calls
+from tracewell.operators.pyast import _FUNCS, FINDING_SCHEMA, function_facts, traced_calls, walked
 
 _CWE = {"SQL Injection": "CWE-89", "Command Injection": "CWE-78", "Path Traversal": "CWE-22"}
 
@@ -22,34 +24,69 @@ def _parsed(lines: list[str] | None) -> ast.Module | None:
         return None
 
 
-def _over_files(files: DataFrame, rows_of, names: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
-    """``rows_of(tree)`` for each Python file that parses, with the file's path first."""
+_FACT = pa.struct([("kind", pa.string()), ("param", pa.int32()), ("what", pa.string()), ("arg", pa.int32())])
+_SOURCE = pa.struct([("conditions", pa.list_(pa.struct([("callee_of", pa.string()), ("arg_of", pa.int32())]))), ("text", pa.string())])
+_FUNCTION = {"place": pa.int32(), "name": pa.string(), "params": pa.list_(pa.string()), "facts": pa.list_(_FACT)}
+_CALL = {"line_number": pa.int32(), "callee": pa.string(), "arg": pa.int32(), "sources": pa.list_(_SOURCE), "arg_text": pa.string(), "code_snippet": pa.string()}
+
+
+def _function_rows(nodes: list[ast.AST]) -> Iterator[tuple]:
+    for place, func in enumerate(n for n in nodes if isinstance(n, _FUNCS)):
+        facts = [{"kind": k, "param": p, "what": w, "arg": a} for k, p, w, a in dict.fromkeys(function_facts(func))]
+        yield place, func.name, [a.arg for a in func.args.args], facts
+
+
+def _call_rows(tree: ast.Module, nodes: list[ast.AST]) -> Iterator[tuple]:
+    for line, callee, arg, found, text, snippet in traced_calls(tree, nodes):
+        yield line, callee, arg, [{"conditions": [{"callee_of": c, "arg_of": k} for c, k in conditions], "text": t} for conditions, t in found], text, snippet
+
+
+def _modules(files: DataFrame, with_calls: bool) -> DataFrame:
+    """Functions and, if asked, calls that get outside data, of each Python file that parses: a row is one or the other, with its path.
+
+    A file is parsed once. Of functions of one name those that can't be the last are left out as far as a batch shows.
+    """
+    kinds = {"file_path": pa.string()} | _FUNCTION | (_CALL if with_calls else {})
+    schema = pa.schema(list(kinds.items()))
+    own, other = (None,) * len(_FUNCTION), (None,) * (len(kinds) - len(_FUNCTION) - 1)
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        last: dict[str, tuple] = {}
+        for path, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (tree := _parsed(lines)) is None:
+                continue
+            nodes = walked(tree)
+            for row in _function_rows(nodes):
+                at = path is not None, path or "", row[0]
+                if row[1] not in last or last[row[1]][0] < at:
+                    last[row[1]] = at, (path, *row, *other)
+            if with_calls:
+                yield from ((path, *own, *row) for row in _call_rows(tree, nodes))
+        yield from (row for _, row in last.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if (tree := _parsed(lines)) is not None:
-                    rows += [(path, *r) for r in rows_of(tree)]
-            columns = list(zip(*rows, strict=True)) or [()] * (len(names) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *(t for _, t in names)], strict=True)], names=["file_path", *(n for n, _ in names)])
+            collects = gc.isenabled()
+            gc.disable()  # trees have no cycles, but many objects that the collector would go through again and again
+            try:
+                rows = list(rows_of(batch))
+            finally:
+                if collects:
+                    gc.enable()
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], schema=schema)
 
-    return files.where("language = 'python'").select("file_path", "lines").mapInArrow(run, f"file_path string, {ddl}")
+    return files.where("language = 'python'").select("file_path", "lines").mapInArrow(run, from_arrow_schema(schema))
 
 
-def functions_of(files: DataFrame) -> DataFrame:
-    """name, file_path, params, facts: of functions of one name the last by path and place counts."""
-    fact = pa.struct([("kind", pa.string()), ("param", pa.int32()), ("what", pa.string()), ("arg", pa.int32())])
+def _last_of_name(found: DataFrame) -> DataFrame:
+    last = found.where("name is not null").groupBy("name").agg(F.max(F.struct("file_path", *[c for c in _FUNCTION if c != "name"])).alias("f"))  # combined before the shuffle
+    return last.select("name", "f.file_path", "f.params", "f.facts")
 
-    def rows_of(tree: ast.Module) -> Iterator[tuple]:
-        for place, func in enumerate(n for n in ast.walk(tree) if isinstance(n, _FUNCS)):
-            facts = [{"kind": k, "param": p, "what": w, "arg": a} for k, p, w, a in dict.fromkeys(function_facts(func))]
-            yield place, func.name, [a.arg for a in func.args.args], facts
 
-    names = [("place", pa.int32()), ("name", pa.string()), ("params", pa.list_(pa.string())), ("facts", pa.list_(fact))]
-    found = _over_files(files, rows_of, names, "place int, name string, params array<string>, facts array<struct<kind:string,param:int,what:string,arg:int>>")
-    last = found.groupBy("name").agg(F.max(F.struct("file_path", "place", "params", "facts")).alias("f"))  # combined before the shuffle
-    return last.select("name", "f.file_path", "f.params", "f.facts")
+def functions_of(files: DataFrame) -> DataFrame:
+    """name, file_path, params, facts: of functions of one name the last by path and place counts."""
+    return _last_of_name(_modules(files, with_calls=False))
 
 
 def return_parameters(functions: DataFrame) -> DataFrame:
@@ -106,31 +143,45 @@ def sink_parameters(functions: DataFrame) -> DataFrame:
 
 
 def resolved(calls: DataFrame, returns: DataFrame) -> DataFrame:
-    """``calls`` with ``source``: of ``sources`` the last whose conditions are all among ``returns`` (name, param)."""
+    """``calls`` with ``source``: of ``sources`` the last whose conditions are all among ``returns`` (name, param).
+
+    Only numbers of calls and their conditions are joined with ``returns``; calls of one source are not joined at all.
+    """
     key = [c for c in calls.columns if c != "sources"]
-    numbered = F.transform("sources", lambda s, k: F.struct(k.alias("k"), s["text"].alias("text"), s["conditions"].alias("conditions")))
-    asked = calls.where(F.size("sources") > 1).select(*key, F.explode(numbered).alias("a")).select(*key, "a.k", "a.text", F.explode_outer("a.conditions").alias("c")).select(*key, "k", "text", "c.*")
-    held = asked.join(returns.select(F.col("name").alias("callee_of"), F.col("param").alias("arg_of"), F.lit(True).alias("returned")), ["callee_of", "arg_of"], "left")
-    whole = held.groupBy(*key, "k", "text").agg(F.bool_and(F.col("callee_of").isNull() | F.coalesce("returned", F.lit(False))).alias("holds")).where("holds")
-    last = whole.groupBy(*key).agg(F.max_by("text", "k").alias("source"))
-    return calls.where(F.size("sources") <= 1).select(*key, F.get("sources", F.lit(0))["text"].alias("source")).unionByName(last)
+    numbered = cut(calls.withColumn("call", F.monotonically_increasing_id()), "taint-calls")
+    asked = numbered.where(F.size("sources") > 1).select("call", F.posexplode("sources").alias("k", "s")).select("call", "k", F.explode("s.conditions").alias("c")).select("call", "k", "c.*").where("callee_of is not null")
+    given = returns.select(F.col("name").alias("callee_of"), F.col("param").alias("arg_of"))
+    failed = asked.join(given, ["callee_of", "arg_of"], "left_anti").groupBy("call").agg(F.collect_set("k").alias("failed"))
+    several = numbered.where(F.size("sources") > 1).join(failed, "call", "left")
+    holds = F.filter("sources", lambda s, k: ~F.coalesce(F.array_contains("failed", k), F.lit(False)))
+    last = several.select(*key, holds.alias("holds")).where(F.size("holds") > 0).select(*key, F.element_at("holds", -1)["text"].alias("source"))
+    return numbered.where(F.size("sources") <= 1).select(*key, F.get("sources", F.lit(0))["text"].alias("source")).unionByName(last)
+
+
+#: Calls of what this part of all calls names are dealt out over so many places.
+OFTEN, PLACES = 1 / 100, 64
+
+
+def _joined(calls: DataFrame, sinks: DataFrame) -> DataFrame:
+    """``calls`` with the sinks of callee and argument. Sinks that many calls name, a hundred at most, stand in several places."""
+    least = calls.count() * OFTEN
+    often = [r.callee for r in calls.groupBy("callee").count().where(F.col("count") > least).collect()]
+    if not often:
+        return calls.join(sinks, ["callee", "arg"])
+    named = F.col("callee").isin(often)
+    dealt = calls.withColumn("place", F.when(named, F.pmod(F.xxhash64("file_path", "line_number"), F.lit(PLACES)).cast("int")).otherwise(0))
+    places = F.when(named, F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(sinks.withColumn("place", F.explode(places)), ["callee", "arg", "place"]).drop("place")
 
 
 def taint_findings(files: DataFrame) -> DataFrame:
     """Findings where outside data is passed to a parameter that reaches a sink; one per file and line, types in order."""
-    functions = cut(functions_of(files), "functions")
+    modules = cut(_modules(files, with_calls=True), "modules")
+    functions = cut(_last_of_name(modules), "functions")
     sinks = sink_parameters(functions).join(functions.select("name", "params"), "name")
-    source = pa.struct([("conditions", pa.list_(pa.struct([("callee_of", pa.string()), ("arg_of", pa.int32())]))), ("text", pa.string())])
-    names = [("line_number", pa.int32()), ("callee", pa.string()), ("arg", pa.int32()), ("sources", pa.list_(source)), ("arg_text", pa.string()), ("code_snippet", pa.string())]
-
-    def rows_of(tree: ast.Module) -> Iterator[tuple]:
-        for line, callee, arg, found, text, snippet in traced_calls(tree):
-            yield line, callee, arg, [{"conditions": [{"callee_of": c, "arg_of": k} for c, k in conditions], "text": t} for conditions, t in found], text, snippet
-
-    ddl = "line_number int, callee string, arg int, sources array<struct<conditions:array<struct<callee_of:string,arg_of:int>>,text:string>>, arg_text string, code_snippet string"
-    calls = _over_files(files, rows_of, names, ddl)
-    hits = calls.join(sinks.select(F.col("name").alias("callee"), F.col("param").alias("arg"), "type", "params"), ["callee", "arg"])
-    hits = resolved(cut(hits.distinct(), "taint-hits"), return_parameters(functions))
+    calls = modules.where("callee is not null").select("file_path", *_CALL)
+    hits = _joined(calls, sinks.select(F.col("name").alias("callee"), F.col("param").alias("arg"), "type", "params"))
+    hits = resolved(hits, return_parameters(functions))
     cwe = F.lit("CWE-89")
     for kind, value in _CWE.items():
         cwe = F.when(F.col("type") == kind, value).otherwise(cwe)
@@ -139,7 +190,7 @@ def taint_findings(files: DataFrame) -> DataFrame:
         "file_path", "line_number", F.lit("TAINT-CROSS-FILE-001").alias("rule_id"), F.col("type").alias("vulnerability_type"), F.lit("CRITICAL").alias("severity"), F.lit(5).alias("severity_value"),
         F.lit(0.85).alias("confidence_score"), cwe.alias("cwe_id"), "source", sink.alias("sink"), "code_snippet",
     )
-    return out.distinct()
+    return out.repartition("file_path").distinct()  # dealt out as one_per_line needs it
 
 
 def one_per_line(findings: DataFrame) -> DataFrame:
