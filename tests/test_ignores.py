@@ -5,8 +5,9 @@ import random
 from pathlib import PurePosixPath
 
 from tests.test_findings import finding, table
+from tracewell.operators import ignores
 from tracewell.operators.findings import without_ignored
-from tracewell.operators.ignores import parsed_pattern, read_patterns, without_patterns
+from tracewell.operators.ignores import ignored_paths, lookup_keys, parsed_pattern, read_patterns, without_patterns
 
 
 def plain(path, rule, lines):
@@ -49,3 +50,20 @@ def test_many_patterns_give_what_the_chain_gives(spark, tmp_path):
 def test_grams_are_literal():
     assert parsed_pattern("src/f1*.py:r")[2] == ["c/f1", "rc/f", "src/"]
     assert parsed_pattern("*")[2] == [""] and parsed_pattern("f?3.py")[2] == ["3.py"] and parsed_pattern("# x") is None
+
+
+def test_a_bracket_first_in_a_set_is_one_of_it(spark):
+    paths = ["bx.py", "ax.py", "]x.py", "lib/cx.py", "[!]a]x.py"]
+    for line in ("[!]a]x.py", "[]a]x.py", "[]ax.py", "[!]", "[!]?x*"):
+        kept = without_patterns(table(spark, *[finding(path=p) for p in paths]), spark.createDataFrame([(line,)], "line string"))
+        assert sorted(r.file_path for r in kept.collect()) == sorted(p for p in paths if not plain(p, "R", [line])), line
+
+
+def test_many_globs_alike_are_compared_with_few_paths(spark):
+    """What begins like a glob is compared with it, not all that shares some four characters."""
+    names, numbers = [f"src/f{k}.py" for k in range(100_003, 1_000_000, 300)], range(10_000, 100_000, 30)
+    paths, lines = spark.createDataFrame([(x,) for x in names], "file_path string"), spark.createDataFrame([(f"f{k}?.py",) for k in numbers], "line string")
+    keys = spark.createDataFrame([key for k in numbers for key in lookup_keys(f"f{k}?.py") if key[0] == ignores._BEGINS], "kind int, size int, key long")
+    assert ignores._found(paths, keys, counted=False).join(keys, "key").count() <= 3_000 * 1.01
+    assert {r.file_path for r in ignored_paths(paths, lines).collect()} == set(names)
+    assert not ignored_paths(paths.limit(0), lines).count() and not ignored_paths(paths, lines.limit(0)).count()
