@@ -3,8 +3,8 @@
 import ast
 
 from tracewell.operators import taint
-from tracewell.operators.pyast import plainly_written, walked
-from tracewell.operators.taint import taint_findings
+from tracewell.operators.pyast import plainly_written, scopes_of, walked
+from tracewell.operators.taint import functions_of, sink_parameters, taint_findings
 
 
 def modules(spark, n):
@@ -34,3 +34,20 @@ def test_texts_are_what_unparse_gives():
     assert all(own in (None, text) for own, text in made) and sum(own is not None for own, _ in made) > 20
     kinds = lambda nodes: [type(n) for n in nodes if not isinstance(n, (ast.expr_context, ast.operator, ast.unaryop, ast.alias))]
     assert kinds(walked(ast.parse(code))) == kinds(ast.walk(ast.parse(code)))
+
+
+def test_scopes_are_those_of_walk():
+    inner = "def {0}(x):\n    class C:\n        def m(self):\n            return lambda: [y for y in x]\n    x = 1"
+    blocks = ["if a:\n    {0}\nelse:\n    {1}", "try:\n    {0}\nexcept E:\n    {1}\nelse:\n    pass\nfinally:\n    pass", "for i in a:\n    {0}\nelse:\n    {1}", "match a:\n    case 1:\n        {0}\n    case _:\n        {1}", "with a:\n    async {0}", "while a:\n    {0}"]
+    code = "\n".join(b.replace("{0}", inner.format(f"f{k}").replace("\n", "\n" + " " * 8)).replace("{1}", inner.format(f"g{k}").replace("\n", "\n" + " " * 8)) for k, b in enumerate(blocks))
+    tree = ast.parse(code)
+    want = [n for n in ast.walk(tree) if isinstance(n, (ast.Module, ast.FunctionDef, ast.AsyncFunctionDef))]
+    assert len(want) == 21 and [id(n) for n in scopes_of(tree)] == [id(n) for n in want]
+
+
+def test_facts_of_a_function_are_told_apart_without_a_shuffle(spark, monkeypatch):
+    functions = taint.cut(functions_of(modules(spark, 2)), "functions")
+    plans = {}
+    monkeypatch.setattr(taint, "cut", lambda df, name, real=taint.cut: (plans.setdefault(name, df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]), real(df, name))[1])
+    assert [tuple(r) for r in sink_parameters(functions).collect()] == [("low", 0, "SQL Injection")]
+    assert sum(p.count("Exchange hashpartitioning") for name, p in plans.items() if name not in ("links", "jumps", "branches", "frontier")) <= 2

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from tracewell.operators.cut import cut, new_table
-from tracewell.operators.pyast import _FUNCS, FINDING_SCHEMA, function_facts, traced_calls, walked
+from tracewell.operators.pyast import FINDING_SCHEMA, function_facts, scopes_of, traced_calls
 
 _CWE = {"SQL Injection": "CWE-89", "Command Injection": "CWE-78", "Path Traversal": "CWE-22"}
 
@@ -30,14 +30,14 @@ _FUNCTION = {"place": pa.int32(), "name": pa.string(), "params": pa.list_(pa.str
 _CALL = {"line_number": pa.int32(), "callee": pa.string(), "arg": pa.int32(), "sources": pa.list_(_SOURCE), "arg_text": pa.string(), "code_snippet": pa.string()}
 
 
-def _function_rows(nodes: list[ast.AST]) -> Iterator[tuple]:
-    for place, func in enumerate(n for n in nodes if isinstance(n, _FUNCS)):
+def _function_rows(scopes: list[ast.AST]) -> Iterator[tuple]:
+    for place, func in enumerate(scopes[1:]):
         facts = [{"kind": k, "param": p, "what": w, "arg": a} for k, p, w, a in dict.fromkeys(function_facts(func))]
         yield place, func.name, [a.arg for a in func.args.args], facts
 
 
-def _call_rows(tree: ast.Module, nodes: list[ast.AST]) -> Iterator[tuple]:
-    for line, callee, arg, found, text, snippet in traced_calls(tree, nodes):
+def _call_rows(tree: ast.Module, scopes: list[ast.AST]) -> Iterator[tuple]:
+    for line, callee, arg, found, text, snippet in traced_calls(tree, scopes):
         yield line, callee, arg, [{"conditions": [{"callee_of": c, "arg_of": k} for c, k in conditions], "text": t} for conditions, t in found], text, snippet
 
 
@@ -55,13 +55,13 @@ def _modules(files: DataFrame, with_calls: bool) -> DataFrame:
         for path, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if (tree := _parsed(lines)) is None:
                 continue
-            nodes = walked(tree)
-            for row in _function_rows(nodes):
+            scopes = scopes_of(tree)
+            for row in _function_rows(scopes):
                 at = path is not None, path or "", row[0]
                 if row[1] not in last or last[row[1]][0] < at:
                     last[row[1]] = at, (path, *row, *other)
             if with_calls:
-                yield from ((path, *own, *row) for row in _call_rows(tree, nodes))
+                yield from ((path, *own, *row) for row in _call_rows(tree, scopes))
         yield from (row for _, row in last.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def _doubled(jumps: DataFrame) -> DataFrame:
 
 
 def sink_parameters(functions: DataFrame) -> DataFrame:
-    """name, param, type: parameters that reach a sink, through any chain of calls.
+    """name, param, type: parameters of ``functions`` (one row a name) that reach a sink, through any chain of calls.
 
     Parameters and the arguments they are passed as form a graph. Calls of what is no sink and passes nothing on are left out. A
     parameter that then goes to one place alone is a link of a chain; chains are shortened to their ends by doubling, and only the
@@ -118,16 +118,18 @@ def sink_parameters(functions: DataFrame) -> DataFrame:
     rounds; cycles end because known facts are dropped.
     """
     spark = functions.sparkSession
-    facts = cut(functions.select("name", F.explode("facts").alias("x")).select("name", "x.*"), "facts")
-    node = lambda name, param: F.struct(F.col(name).alias("name"), F.col(param).alias("param"))
-    sinks = cut(facts.where("kind = 'sink'").select(node("name", "param").alias("node"), F.col("what").alias("type")).distinct(), "sinks")
-    calls = facts.where("kind = 'call'").select(node("name", "param").alias("node"), node("what", "arg").alias("to")).distinct()
-    live = calls.select(F.col("node").alias("to")).union(sinks.select(F.col("node").alias("to"))).distinct()
-    edges = cut(calls.join(live, "to", "left_semi").select("node", "to"), "calls")
-    single = edges.groupBy("node").agg(F.count("*").alias("n"), F.first("to").alias("to")).where("n = 1").join(sinks.select("node").distinct(), "node", "left_anti").select("node", "to")
+    # All facts of a node stand in the row of its function, each once, so they need no shuffle to be told apart.
+    held = functions.select("name", F.explode(F.array_distinct(F.transform(F.filter("facts", lambda x: x["kind"] != "return"), lambda x: x["param"]))).alias("param"), "facts")
+    of_kind = lambda kind: F.filter("facts", lambda x: (x["kind"] == kind) & (x["param"] == F.col("param")))
+    called = F.transform(of_kind("call"), lambda x: F.struct(x["what"].alias("name"), x["arg"].alias("param")))
+    nodes = cut(held.select(F.struct("name", "param").alias("node"), F.array_distinct(F.transform(of_kind("sink"), lambda x: x["what"])).alias("types"), F.array_distinct(called).alias("to")), "nodes")
+    sinks = nodes.select("node", F.explode("types").alias("type"))
+    calls = nodes.select("node", F.explode("to").alias("to"), (F.size("types") == 0).alias("plain"))
+    edges = cut(calls.join(nodes.select(F.col("node").alias("to")), "to", "left_semi").select("node", "to", "plain"), "calls")
+    single = edges.groupBy("node").agg(F.count("*").alias("n"), F.first("to").alias("to"), F.first("plain").alias("plain")).where("n = 1 and plain").select("node", "to")
     ends = _doubled(cut(single, "links"))
     links = ends.select(F.col("node").alias("to"), F.col("to").alias("end"))
-    rest = edges.join(ends.select("node"), "node", "left_anti")
+    rest = edges.select("node", "to").join(ends.select("node"), "node", "left_anti")
     rest = cut(rest.join(links, "to", "left").select("node", F.coalesce("end", "to").alias("to")).distinct(), "branches")
     table, frontier = new_table(spark, "reached"), sinks
     while True:
